@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from tributary.llm.bpe_prefix import op8_bpe_round_trip
 from tributary.llm.ogg_media import op9_ogg_media
+from tributary.llm.token_counts import op2_token_counts
 
 QUERIES = {
+    "op2_token_counts": op2_token_counts,
+    "op8_bpe_round_trip": op8_bpe_round_trip,
     "op9_ogg_media": op9_ogg_media,
 }
 
