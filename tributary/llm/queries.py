@@ -5,9 +5,11 @@ from __future__ import annotations
 from tributary.llm.bpe_prefix import op8_bpe_round_trip
 from tributary.llm.ogg_media import op9_ogg_media
 from tributary.llm.token_counts import op2_token_counts
+from tributary.llm.token_store import op4_token_files
 
 QUERIES = {
     "op2_token_counts": op2_token_counts,
+    "op4_token_files": op4_token_files,
     "op8_bpe_round_trip": op8_bpe_round_trip,
     "op9_ogg_media": op9_ogg_media,
 }
