@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from tributary.llm.bpe_prefix import op8_bpe_round_trip
+from tributary.llm.line_dedup import OP10_SQL, op10_line_dedup
+from tributary.llm.mixing import op1_mix_sources
 from tributary.llm.ogg_media import op9_ogg_media
 from tributary.llm.token_counts import op2_token_counts
 from tributary.llm.token_store import op4_token_files
 
 QUERIES = {
+    "op1_mix_sources": op1_mix_sources,
     "op2_token_counts": op2_token_counts,
     "op4_token_files": op4_token_files,
     "op8_bpe_round_trip": op8_bpe_round_trip,
     "op9_ogg_media": op9_ogg_media,
+    "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op10_line_dedup": OP10_SQL}
