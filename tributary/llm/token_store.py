@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tributary.llm.bpe_tables import BYTE_LEVEL_PATTERN, read_spec, spec_of
+from tributary.llm.bpe_tables import BYTE_LEVEL_PATTERN, byte_characters, read_spec, spec_of
 from tributary.llm.common import parts_by_bytes, scratch_path
 
 MAGIC = b"TEF1"
@@ -43,6 +43,8 @@ SAMPLE = 64
 SHARD_BYTES = 24 << 20
 BLOCK_CHARS = 2_000_000
 REMEMBERED = 300_000
+#: Pre-tokens given to the library in one call.
+CALL_WORDS = 5_000
 #: Shards whose offsets are summed together before the groups are.
 SHARD_GROUP = 1024
 POPCOUNT = np.array([bin(b).count("1") for b in range(256)], dtype=np.int64)
@@ -166,18 +168,38 @@ class LibraryEncoder:
         self.pattern = regex.compile(BYTE_LEVEL_PATTERN)
         self.width = 2 if self.spec.size <= 1 << 16 else 4
         self.known: dict[str, bytes] = {}
+        #: whether the token starts with the space that starts a spaced word
+        self.opens = np.zeros(self.spec.size, dtype=bool)
+        self.opens[[i for token, i in self.spec.vocab.items() if token[0] == byte_characters()[32]]] = True
 
     def pack(self, ids: list[int]) -> bytes:
         return np.array(ids, dtype=f"<u{self.width}").tobytes()
 
+    def _learn_each(self, words: list[str]) -> None:
+        for start in range(0, len(words), CALL_WORDS):
+            some = words[start : start + CALL_WORDS]
+            made = self.library.encode_batch_fast(some, add_special_tokens=False)
+            self.known.update((w, self.pack(e.ids)) for w, e in zip(some, made, strict=True))
+
+    def _learn_spaced(self, words: list[str]) -> None:
+        """Words of one space and letters, encoded as one text: each is a pre-token of it, and only its first token opens with a space."""
+        ids = np.array(self.library.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids, dtype=f"<u{self.width}")
+        starts = np.flatnonzero(self.opens[ids])
+        if len(starts) != len(words):  # letters that the library's character tables do not have
+            return
+        cuts = (np.append(starts, len(ids)) * self.width).tolist()
+        packed = ids.tobytes()
+        self.known.update((w, packed[a:b]) for w, a, b in zip(words, cuts[:-1], cuts[1:], strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         found = [[w for k, p in enumerate(self.spec.pieces(t)) for w in ([p] if k % 2 else self.pattern.findall(p))] for t in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        new = list({w for words in found for w in words}.difference(self.known))
-        if new:
-            made = self.library.encode_batch_fast(new, add_special_tokens=False)
-            self.known.update((w, self.pack(e.ids)) for w, e in zip(new, made, strict=True))
+        new = {w for words in found for w in words}.difference(self.known)
+        spaced = [w for w in new if w[0] == " " and w[1:].isalpha()]
+        for start in range(0, len(spaced), CALL_WORDS):
+            self._learn_spaced(spaced[start : start + CALL_WORDS])
+        self._learn_each([w for w in new if w not in self.known])
         get = self.known.__getitem__
         return [b"".join(map(get, words)) for words in found]
 
