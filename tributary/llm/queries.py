@@ -8,14 +8,16 @@ from tributary.llm.mixing import op1_mix_sources
 from tributary.llm.ogg_media import op9_ogg_media
 from tributary.llm.token_counts import op2_token_counts
 from tributary.llm.token_store import op4_token_files
+from tributary.llm.topk_search import OP6_SQL, op6_top_k
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_token_counts": op2_token_counts,
     "op4_token_files": op4_token_files,
+    "op6_top_k": op6_top_k,
     "op8_bpe_round_trip": op8_bpe_round_trip,
     "op9_ogg_media": op9_ogg_media,
     "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {"op10_line_dedup": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_top_k": OP6_SQL, "op10_line_dedup": OP10_SQL}
