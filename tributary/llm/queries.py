@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tributary.llm.bpe_prefix import op8_bpe_round_trip
 from tributary.llm.line_dedup import OP10_SQL, op10_line_dedup
+from tributary.llm.lm_scoring import op5_lm_scores
 from tributary.llm.mixing import op1_mix_sources
 from tributary.llm.ogg_media import op9_ogg_media
 from tributary.llm.token_counts import op2_token_counts
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_token_counts": op2_token_counts,
     "op4_token_files": op4_token_files,
+    "op5_lm_scores": op5_lm_scores,
     "op6_top_k": op6_top_k,
     "op8_bpe_round_trip": op8_bpe_round_trip,
     "op9_ogg_media": op9_ogg_media,
