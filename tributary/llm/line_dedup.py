@@ -20,20 +20,21 @@ def _lines(text: Column) -> Column:
 
 
 def _filled(line: Column) -> Column:
-    return F.trim(F.translate(line, "\t\r\f\u000b", "    ")) != ""
+    return F.ltrim(line, F.lit(" \t\r\f\u000b")) != ""
 
 
 def _windows(docs: DataFrame, width: int) -> DataFrame:
     """(id, tag, pos, w1, w2): each window's 128-bit hash and the place it starts at among non-blank lines."""
     filled = F.filter(_lines(F.col(_TEXT)), _filled)
     hashes = F.transform(filled, lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b")))
-    wide = docs.select(_ID, _TAG, hashes.alias("h")).where(F.size("h") >= width)
+    wide = docs.select(_ID, _TAG, hashes.alias("h"))
 
     def window(_: Column, i: Column) -> Column:
         at = [F.element_at("h", (i + k + 1).cast("int")) for k in range(width)]
         return F.struct(F.xxhash64(*[x["a"] for x in at]).alias("w1"), F.xxhash64(*[x["b"] for x in at]).alias("w2"))
 
-    starts = F.slice("h", F.lit(1), F.size("h") - (width - 1))
+    # short documents give null, which has no rows; a filter here would be pushed below and split the text again
+    starts = F.when(F.size("h") >= width, F.slice("h", F.lit(1), F.greatest(F.size("h") - (width - 1), F.lit(0))))
     made = wide.select(_ID, _TAG, F.posexplode(F.transform(starts, window)).alias("pos", "w"))
     return made.select(_ID, _TAG, "pos", "w.w1", "w.w2")
 
@@ -73,17 +74,19 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.col(_ID).alias("__ld_id2"), F.col(_TAG).alias("__ld_tag2"), "covered"
     )
     both = keyed.join(covered, F.col(_ID).eqNullSafe(F.col("__ld_id2")) & (F.col(_TAG) == F.col("__ld_tag2")), "left")
-    lines = _lines(F.col(_TEXT))
-    places = F.filter(F.transform(lines, lambda x, i: F.when(_filled(x), i).otherwise(-1)), lambda i: i >= 0)
-    gone = F.transform("covered", lambda c: F.element_at(places, c + 1))
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
-    text = F.when(F.col("covered").isNull(), F.col(_TEXT)).otherwise(
-        F.array_join(F.transform(kept, lambda i: F.element_at(lines, i + 1)), "\n")
+    # one column a step: an expression named twice, or inside a lambda, would be computed again each time
+    steps = (
+        both.withColumn("__ld_lines", F.when(F.col("covered").isNotNull(), _lines(F.col(_TEXT))))
+        .withColumn("__ld_places", F.filter(F.transform("__ld_lines", lambda x, i: F.when(_filled(x), i).otherwise(-1)), lambda i: i >= 0))
+        .withColumn("__ld_gone", F.transform("covered", lambda c: F.element_at("__ld_places", c + 1)))
+        .withColumn("__ld_kept", F.array_except(F.sequence(F.lit(0), F.size("__ld_lines") - 1), "__ld_gone"))
+        .withColumn("__ld_left", F.transform("__ld_kept", lambda i: F.element_at("__ld_lines", i + 1)))
     )
+    text = F.when(F.col("covered").isNull(), F.col(_TEXT)).otherwise(F.array_join("__ld_left", "\n"))
     columns = [text.alias(c) if c == text_col else F.col("__ld_row")[c].alias(c) for c in names]
-    return both.select(
+    return steps.select(
         *columns,
-        F.coalesce(F.size(F.filter(lines, _filled)), F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(F.size(F.filter(_lines(F.col(_TEXT)), _filled)), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size("covered"), F.lit(0)).cast("long").alias("n_removed"),
     )
 
