@@ -18,6 +18,7 @@ of 64. `Boundaries.select` finds one without decoding the others.
 
 from __future__ import annotations
 
+import gc
 import os
 import struct
 import zlib
@@ -41,10 +42,11 @@ HEAD = struct.Struct("<4sHHIIQQI6Q")
 SAMPLE = 64
 #: Text bytes of one file, and characters of one block.
 SHARD_BYTES = 24 << 20
-BLOCK_CHARS = 2_000_000
-REMEMBERED = 300_000
+BLOCK_CHARS = 1_500_000
+#: Runs of characters whose ids a worker remembers; the memory is emptied when full.
+REMEMBERED = 250_000
 #: Pre-tokens given to the library in one call.
-CALL_WORDS = 5_000
+CALL_WORDS = 1_000
 #: Shards whose offsets are summed together before the groups are.
 SHARD_GROUP = 1024
 POPCOUNT = np.array([bin(b).count("1") for b in range(256)], dtype=np.int64)
@@ -157,7 +159,14 @@ def read_blocks(content: bytes, headers_only: bool = False) -> Iterator[Block |
 
 
 class LibraryEncoder:
-    """Ids of whole texts by the tokenizers library, called once for each new pre-token."""
+    """Ids of whole texts by the tokenizers library, called once for each new pre-token.
+
+    In a plain text (ASCII and accented Latin letters; no two white-space characters
+    together; each comma or full stop between a letter or digit and one of these,
+    white space or the end), pre-tokens border on every space, comma, full stop and
+    newline, so marks put there cut it without the pattern. Other texts are cut by
+    the pattern. A cut piece may still hold several pre-tokens; the library cuts it.
+    """
 
     def __init__(self, spec_text: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -167,7 +176,7 @@ class LibraryEncoder:
         self.library = Tokenizer.from_str(spec_text)
         self.pattern = regex.compile(BYTE_LEVEL_PATTERN)
         self.width = 2 if self.spec.size <= 1 << 16 else 4
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {"": b""}
         #: whether the token starts with the space that starts a spaced word
         self.opens = np.zeros(self.spec.size, dtype=bool)
         self.opens[[i for token, i in self.spec.vocab.items() if token[0] == byte_characters()[32]]] = True
@@ -175,33 +184,77 @@ class LibraryEncoder:
     def pack(self, ids: list[int]) -> bytes:
         return np.array(ids, dtype=f"<u{self.width}").tobytes()
 
-    def _learn_each(self, words: list[str]) -> None:
-        for start in range(0, len(words), CALL_WORDS):
-            some = words[start : start + CALL_WORDS]
+    def _learn(self, words: list[str]) -> None:
+        """Ids of new pieces; spaced words of letters go as one text, where only a word's first token opens with a space."""
+        joined, rest = [], []
+        for w in words:
+            (joined if w[0] == " " and w[1:].isalpha() else rest).append(w)
+        for start in range(0, len(joined), CALL_WORDS):
+            some = joined[start : start + CALL_WORDS]
+            ids = np.array(self.library.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, dtype=f"<u{self.width}")
+            starts = np.flatnonzero(self.opens[ids])
+            if len(starts) == len(some):
+                cuts = (np.append(starts, len(ids)) * self.width).tolist()
+                packed = ids.tobytes()
+                self.known.update(zip(some, [packed[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)], strict=True))
+            else:  # letters that the library's character tables do not have
+                rest += some
+        for start in range(0, len(rest), CALL_WORDS):
+            some = rest[start : start + CALL_WORDS]
             made = self.library.encode_batch_fast(some, add_special_tokens=False)
             self.known.update((w, self.pack(e.ids)) for w, e in zip(some, made, strict=True))
 
-    def _learn_spaced(self, words: list[str]) -> None:
-        """Words of one space and letters, encoded as one text: each is a pre-token of it, and only its first token opens with a space."""
-        ids = np.array(self.library.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids, dtype=f"<u{self.width}")
-        starts = np.flatnonzero(self.opens[ids])
-        if len(starts) != len(words):  # letters that the library's character tables do not have
-            return
-        cuts = (np.append(starts, len(ids)) * self.width).tolist()
-        packed = ids.tobytes()
-        self.known.update((w, packed[a:b]) for w, a, b in zip(words, cuts[:-1], cuts[1:], strict=True))
+    def _cut(self, text: str, plain: bool) -> list[str]:
+        pieces = self.spec.pieces(text)
+        if len(pieces) > 1:
+            return [w for k, p in enumerate(pieces) for w in ([p] if k % 2 else self.pattern.findall(p))]
+        if not plain:
+            return self.pattern.findall(text)
+        return text.replace(" ", "\0 ").replace(",", "\0,").replace(".", "\0.").replace("\n", "\0\n\0").split("\0")
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        found = [[w for k, p in enumerate(self.spec.pieces(t)) for w in ([p] if k % 2 else self.pattern.findall(p))] for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = {w for words in found for w in words}.difference(self.known)
-        spaced = [w for w in new if w[0] == " " and w[1:].isalpha()]
-        for start in range(0, len(spaced), CALL_WORDS):
-            self._learn_spaced(spaced[start : start + CALL_WORDS])
-        self._learn_each([w for w in new if w not in self.known])
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in found]
+        collecting = gc.isenabled()
+        gc.disable()  # millions of strings and no cycles
+        try:
+            found = [self._cut(t, p) for t, p in zip(texts, plain_texts(texts), strict=True)]
+            if len(self.known) > REMEMBERED:
+                self.known = {"": b""}
+            self._learn(list(set().union(*found).difference(self.known)))
+            get = self.known.__getitem__
+            return [b"".join(map(get, words)) for words in found]
+        finally:
+            if collecting:
+                gc.enable()
+
+
+def _byte_classes() -> np.ndarray:
+    """0 letters and digits, 1 white space, 2 comma or full stop, 3 other marks, 4 a text's end, 5 anything else."""
+    out = np.full(256, 5, dtype=np.uint8)
+    for b in range(33, 127):
+        out[b] = 0 if chr(b).isalnum() else 2 if chr(b) in ",." else 3
+    out[[9, 10, 11, 12, 13, 32]] = 1
+    out[0xC3] = 0  # leads the accented Latin letters; the two marks among them end in 97 and B7
+    out[0x80:0xC0] = 0
+    out[[0x97, 0xB7]] = 5
+    out[0xFF] = 4
+    return out
+
+
+BYTE_CLASSES = _byte_classes()
+CROWDED_PAIRS = np.zeros((6, 6), dtype=bool)
+CROWDED_PAIRS[[1, 1, 2, 3, 4, 2], [1, 2, 2, 2, 2, 3]] = True
+CROWDED_PAIRS[5, :] = CROWDED_PAIRS[:, 5] = True
+
+
+def plain_texts(texts: list[str]) -> list[bool]:
+    """Which texts marks can cut."""
+    raw = [t.encode("utf-8") for t in texts]
+    kinds = BYTE_CLASSES[np.frombuffer(b"\xff" + b"\xff".join(raw) + b"\xff", dtype=np.uint8)]
+    crowded = np.flatnonzero(CROWDED_PAIRS.ravel()[kinds[:-1] * 6 + kinds[1:]])
+    ends = np.cumsum([len(r) + 1 for r in raw])
+    plain = np.ones(len(texts), dtype=bool)
+    plain[np.minimum(np.searchsorted(ends, crowded, side="left"), len(texts) - 1)] = False
+    return plain.tolist()
 
 
 @lru_cache(maxsize=2)
