@@ -10,10 +10,12 @@ from tributary.llm.ogg_media import op9_ogg_media
 from tributary.llm.token_counts import op2_token_counts
 from tributary.llm.token_store import op4_token_files
 from tributary.llm.topk_search import OP6_SQL, op6_top_k
+from tributary.llm.toxicity import op3_toxicity
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_token_counts": op2_token_counts,
+    "op3_toxicity": op3_toxicity,
     "op4_token_files": op4_token_files,
     "op5_lm_scores": op5_lm_scores,
     "op6_top_k": op6_top_k,
