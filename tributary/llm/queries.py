@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tributary.llm.bpe_prefix import op8_bpe_round_trip
+from tributary.llm.jaccard_join import op7_jaccard_join
 from tributary.llm.line_dedup import OP10_SQL, op10_line_dedup
 from tributary.llm.lm_scoring import op5_lm_scores
 from tributary.llm.mixing import op1_mix_sources
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_token_files": op4_token_files,
     "op5_lm_scores": op5_lm_scores,
     "op6_top_k": op6_top_k,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_bpe_round_trip": op8_bpe_round_trip,
     "op9_ogg_media": op9_ogg_media,
     "op10_line_dedup": op10_line_dedup,
