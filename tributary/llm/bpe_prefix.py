@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tributary.llm.bpe_tables import WORD_END_PATTERN, byte_characters, read_spec, spec_of
 from tributary.llm.common import parts_by_bytes
@@ -237,6 +238,11 @@ def bpe_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
+def encoded_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None) -> DataFrame:
+    """(id, n_tokens, ids binary): see bpe_encode."""
+    return bpe_encode(docs, id_col, text_col, tokenizer_path).select(id_col, F.expr("length(ids) div 4").alias("n_tokens"), "ids")
+
+
 def op8_bpe_round_trip(spark, sf_dir: str) -> DataFrame:
     """Query: every whole document encoded and decoded."""
     return bpe_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -91,6 +91,14 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """docs with cleaned texts and the same columns; a changed text's length_col, if there is one, is counted anew."""
+    cleaned = line_dedup(docs, id_col, text_col)
+    kind = docs.schema[length_col].dataType if length_col in docs.columns else None
+    counted = F.when(F.col("n_removed") > 0, F.length(text_col).cast(kind)).otherwise(F.col(length_col)) if kind else None
+    return cleaned.select(*[counted.alias(c) if kind and c == length_col else F.col(c) for c in docs.columns])
+
+
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
     """Query: (doc_id, n_lines, n_removed, n_chars_kept, kept_md5) of every whole document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")

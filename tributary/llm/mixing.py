@@ -201,6 +201,22 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return taken_words(mix).select(F.col("id").alias(id_col), "size", "source_size", "target", "taken")
 
 
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0, **options) -> DataFrame:
+    """docs with each row as often as the mix takes it: the whole passes over it, and one more with the chance of what is left.
+
+    The chance is a hash of id, text and seed, so runs agree. A row without words is
+    never taken. Rows that agree in id and text each stand for their mean.
+    """
+    taken = taken_words(draw_mix(docs, id_col, text_col, source_col, seed=seed, **options))
+    times = taken.where("size > 0").groupBy("id", "tag").agg(F.avg(F.col("taken") / F.col("size")).alias("times"))
+    chance = F.pmod(F.xxhash64("id", "tag", F.lit(seed), F.lit("copies")), F.lit(1 << 20)) / F.lit(1 << 20)
+    copies = (F.floor("times") + (chance < F.col("times") - F.floor("times")).cast("long")).alias("__mx_copies")
+    wanted = times.select(F.col("id").alias("__mx_id"), F.col("tag").alias("__mx_tag"), copies).where("__mx_copies > 0")
+    same = docs[id_col].eqNullSafe(wanted["__mx_id"]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == wanted["__mx_tag"])
+    names = [docs[c] for c in docs.columns]
+    return docs.join(wanted, same).select(*names, F.explode(F.sequence(F.lit(1), F.col("__mx_copies").cast("int"))).alias("__mx_copy")).drop("__mx_copy")
+
+
 def op1_mix_sources(spark, sf_dir: str) -> DataFrame:
     """Query: the mix of all documents."""
     return mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"))

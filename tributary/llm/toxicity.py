@@ -238,7 +238,7 @@ def score_toxicity(
     folds: int = 5,
     held_fold: int = 0,
 ) -> DataFrame:
-    """(id, held_out, score, predicted, n_terms, evidence) of every row of docs.
+    """(id, held_out, score, predicted, n_terms, evidence, text_hash) of every row of docs.
 
     Labels are learnt only from rows whose crc32(id as text) modulo `folds` is not
     held_fold. An id with several labels counts as toxic if any says so; null
@@ -323,16 +323,27 @@ def score_toxicity(
                 batch.column(0), batch.column(1), pa.array(scores, pa.float64()),
                 pa.array([int(s >= 0.5) for s in scores], pa.int32()),
                 pa.array([len(x) for x in batch.column(2).to_pylist()], pa.int32()),
-                pa.array(near, pa.list_(batch.schema.field(0).type)),
+                pa.array(near, pa.list_(batch.schema.field(0).type)), batch.column(4),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=[id_col, "held_out", "score", "predicted", "n_terms", "evidence"])
+            yield pa.RecordBatch.from_arrays(columns, names=[id_col, "held_out", "score", "predicted", "n_terms", "evidence", "text_hash"])
 
-    return made.select("id", "held_out", "terms", "counts").mapInArrow(
+    return made.select("id", "held_out", "terms", "counts", "tag").mapInArrow(
         score,
-        f"`{id_col}` {kind}, held_out boolean, score double, predicted int, n_terms int, evidence array<{id_type.simpleString()}>",
+        f"`{id_col}` {kind}, held_out boolean, score double, predicted int, n_terms int, evidence array<{id_type.simpleString()}>, text_hash long",
     )
 
 
+def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the rows whose score is 0.5 or more; rows that agree in id and text share their fate, other columns are kept as they are."""
+    scored = score_toxicity(docs, labels, id_col, text_col).where("predicted = 1")
+    gone = materialize(scored.select(F.col(id_col).alias("__tx_id"), F.col("text_hash").alias("__tx_hash")).distinct(), "toxic-rows")
+    if gone.count() <= MAX_BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    same = docs[id_col].eqNullSafe(gone["__tx_id"]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == gone["__tx_hash"])
+    return docs.join(gone, same, "left_anti")
+
+
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:
     """Query: toxicity of every whole document, learnt from the labels table."""
-    return score_toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = score_toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return scored.drop("text_hash")
