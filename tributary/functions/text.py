@@ -353,7 +353,7 @@ def update_projection(stmt: Column, known: Column) -> Column:
         _all(stmt, r"(?i)\bBETWEEN\s+[A-Za-z_]\w*\s+AND\s+([A-Za-z_]\w*)"),
     )
     have = F.coalesce(known, F.array().cast("array<string>"))
-    spelled = F.transform(touched, lambda c: F.coalesce(F.element_at(F.filter(have, lambda k: F.lower(k) == F.lower(c)), 1), c))
+    spelled = F.transform(touched, lambda c: F.coalesce(F.try_element_at(F.filter(have, lambda k: F.lower(k) == F.lower(c)), F.lit(1)), c))
     first = F.aggregate(
         spelled, F.array().cast("array<string>"),
         lambda acc, c: F.when(F.exists(acc, lambda a: F.lower(a) == F.lower(c)), acc).otherwise(F.array_append(acc, c)),
