@@ -35,7 +35,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tributary.llm.bpe_tables import BYTE_LEVEL_PATTERN, byte_characters, read_spec, spec_of
-from tributary.llm.common import parts_by_bytes, scratch_path
+from tributary.llm.common import materialize, parts_by_bytes, scratch_path
 
 MAGIC = b"TEF1"
 HEAD = struct.Struct("<4sHHIIQQI6Q")
@@ -46,7 +46,7 @@ BLOCK_CHARS = 1_500_000
 #: Runs of characters whose ids a worker remembers; the memory is emptied when full.
 REMEMBERED = 250_000
 #: Pre-tokens given to the library in one call.
-CALL_WORDS = 1_000
+CALL_WORDS = 200
 #: Shards whose offsets are summed together before the groups are.
 SHARD_GROUP = 1024
 POPCOUNT = np.array([bin(b).count("1") for b in range(256)], dtype=np.int64)
@@ -304,8 +304,8 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
 
 
-def shard_starts(spark: SparkSession, path: str) -> DataFrame:
-    """(shard, base): ids in all shards before each, from the block headers alone."""
+def _shard_sums(spark: SparkSession, path: str) -> DataFrame:
+    """(shard, ids): ids in each shard, from the block headers alone."""
 
     def headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -315,23 +315,25 @@ def shard_starts(spark: SparkSession, path: str) -> DataFrame:
                     [pa.array([s for s, _ in found], pa.int32()), pa.array([n for _, n in found], pa.int64())], names=["shard", "ids"]
                 )
 
-    sums = (
-        _files(spark, path).mapInArrow(headers, "shard int, ids long").groupBy("shard").agg(F.sum("ids").alias("ids"))
-        .withColumn("grp", F.expr(f"shard div {SHARD_GROUP}"))
-    )
+    return _files(spark, path).mapInArrow(headers, "shard int, ids long").groupBy("shard").agg(F.sum("ids").alias("ids"))
+
+
+def shard_starts(sums: DataFrame) -> DataFrame:
+    """(shard, base) of (shard, ids): ids in all shards before each, summed in groups of SHARD_GROUP shards."""
+    grouped = sums.withColumn("grp", F.expr(f"shard div {SHARD_GROUP}"))
     before = W.unboundedPreceding, -1
     groups = (
-        sums.groupBy("grp").agg(F.sum("ids").alias("ids"))
+        grouped.groupBy("grp").agg(F.sum("ids").alias("ids"))
         .select("grp", F.coalesce(F.sum("ids").over(W.orderBy("grp").rowsBetween(*before)), F.lit(0)).alias("grp_base"))
     )
     inner = F.coalesce(F.sum("ids").over(W.partitionBy("grp").orderBy("shard").rowsBetween(*before)), F.lit(0))
-    return sums.select("shard", "grp", inner.alias("inner_base")).join(groups, "grp").select(
+    return grouped.select("shard", "grp", inner.alias("inner_base")).join(groups, "grp").select(
         "shard", (F.col("grp_base") + F.col("inner_base")).alias("base")
     )
 
 
-def read_token_files(spark: SparkSession, path: str, id_col: str = "doc_id", with_ids: bool = True) -> DataFrame:
-    """(id, start, n_tokens, ids_crc32[, ids array]) of every document in the files."""
+def _documents(spark: SparkSession, path: str, id_col: str, with_ids: bool) -> DataFrame:
+    """(shard, id, inner, n_tokens, ids_crc32[, ids]) of every document; inner counts from the start of its shard."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -356,8 +358,22 @@ def read_token_files(spark: SparkSession, path: str, id_col: str = "doc_id", wit
                     at += int(bounds[-1])
 
     schema = f"shard int, `{id_col}` long, inner long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
-    rows = _files(spark, path).mapInArrow(decode, schema)
-    return rows.join(shard_starts(spark, path), "shard").select(
+    return _files(spark, path).mapInArrow(decode, schema)
+
+
+def read_token_files(spark: SparkSession, path: str, id_col: str = "doc_id", with_ids: bool = True) -> DataFrame:
+    """(id, start, n_tokens, ids_crc32[, ids array]) of every document in the files.
+
+    Offsets of whole shards come from the headers, or, where the ids are not asked for
+    and the rows are small, from the rows themselves, so that files are read once.
+    """
+    rows = _documents(spark, path, id_col, with_ids)
+    if with_ids:
+        sums = _shard_sums(spark, path)
+    else:
+        rows = materialize(rows, "token-places")
+        sums = rows.groupBy("shard").agg(F.sum("n_tokens").alias("ids"))
+    return rows.join(shard_starts(sums), "shard").select(
         id_col, (F.col("inner") + F.col("base")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] * with_ids)
     )
 
