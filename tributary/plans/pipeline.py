@@ -59,10 +59,10 @@ def run(scripts: DataFrame, config: Config = Config(), generate: Callable[[DataF
     ops = resolve.resolve_variables(raw, variables)
     values = resolve.variable_arrays(variables)
     none = F.array().cast("array<struct<name:string,value:string>>")
-    ops = ops.join(values, "file", "left").withColumn("sql_text", T.substitute(F.col("sql_text"), F.coalesce("vars", none))).drop("vars")
+    ops = ops.join(values, "file", "left").withColumn("sql_text", T.substitute(F.col("sql_text"), F.coalesce("vars", none))).drop("vars").persist()
     temps = extract.temp_views(ops)
     units = resolve.prompts(resolve.line_chunks(scripts, config.chunk_lines, config.overlap_lines))
-    contract = S.write_contract(ops, temps)
+    contract = S.write_contract(ops, temps).persist()
     base = S.evidence_statements(ops).select("file", F.col("op_no").alias("pos"), "stmt")
     if generate is not None:
         made = generate(units).withColumn("stmt", T.cut_to_write(T.sanitize(F.col("stmt")))).where(T.is_write_shaped(F.col("stmt")))
@@ -73,8 +73,8 @@ def run(scripts: DataFrame, config: Config = Config(), generate: Callable[[DataF
     own = S.known_insert_columns(ops)
     known = own.join(spread.select("file", "target"), ["file", "target"], "left_anti").unionByName(spread)
     whole = S.augmented(base, contract)
-    placed = S.reordered(whole, contract).select("file", F.col("new_pos").alias("pos"), "stmt")
-    done = comply(placed, contract, known, temps, values, config.profile)
+    placed = S.reordered(whole, contract).select("file", F.col("new_pos").alias("pos"), "stmt").persist()
+    done = comply(placed, contract, known, temps, values, config.profile).persist()
     bad = validate.violations(done, ops, contract, S.allowed_assets(ops, variables, temps), config.explicit_columns)
     return Result(ops, resolve.units_with_ops(units, ops), contract, done, bad, validate.verdicts(done, bad), parity.edges(done), extract.rejects(found))
 

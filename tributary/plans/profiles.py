@@ -18,11 +18,14 @@ def profile_of(name: str | None) -> str:
 
 
 def rewrite(statements: DataFrame, *steps) -> DataFrame:
-    """Each statement through the column functions in turn, closed by a semicolon at the end."""
-    out: Column = F.col("stmt")
+    """Each statement through the column functions in turn, closed by a semicolon at the end.
+
+    One column a step: nested, a step that names its input twice would double it.
+    """
+    out = statements
     for step in steps:
-        out = step(out)
-    return statements.select("file", "pos", T.terminated(out).alias("stmt")).where("stmt <> ';'")
+        out = out.withColumn("stmt", step(F.col("stmt")))
+    return out.select("file", "pos", T.terminated(F.col("stmt")).alias("stmt")).where(F.length("stmt") > 1)
 
 
 def comply(
