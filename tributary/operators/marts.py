@@ -17,7 +17,7 @@ LAST_SERIAL = 2956565
 def serial_to_date(serial: Column) -> Column:
     """Day numbers counted from FIRST_DAY as 1: 0 and below is FIRST_DAY, beyond LAST_SERIAL is OPEN_END, null stays."""
     counted = F.date_add(F.lit(FIRST_DAY).cast("date"), F.least(F.greatest(serial, F.lit(1)), F.lit(LAST_SERIAL)).cast("int") - 1)
-    return F.when(serial > LAST_SERIAL, F.lit(OPEN_END).cast("date")).when(serial <= 0, F.lit(FIRST_DAY).cast("date")).otherwise(counted)
+    return F.when(serial > LAST_SERIAL, F.lit(OPEN_END).cast("date")).when(serial <= 0, F.lit(FIRST_DAY).cast("date")).when(serial.isNotNull(), counted)
 
 
 def is_month_end(day: Column) -> Column:
