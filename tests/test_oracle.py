@@ -35,3 +35,16 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_scans_are_pruned(spark, sf):
+    """Filters and needed columns reach the scan."""
+    plan = catalogue.QUERIES["retention_filter"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(ts), GreaterThanOrEqual(ts" in plan and "props" not in plan
+    plan = catalogue.QUERIES["mart_master"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "l_extendedprice" not in plan and "c_acctbal" not in plan
+
+
+@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL)))
+def test_without_twin(spark, sf, name):
+    assert catalogue.QUERIES[name](spark, sf).count() > 0

@@ -48,7 +48,8 @@ def comply(
     fixed = rewrite(kept, T.strip_comments, T.tidy_partition, T.space_partition_by, T.close_subquery, T.collapse_join_wrapper, T.cut_where_on_temp)
     views = temps.groupBy("file").agg(F.collect_set("asset").alias("temps"))
     named = fixed.join(views, "file", "left").select("file", "pos", T.canonical_temps(F.col("stmt"), F.coalesce("temps", F.array().cast("array<string>"))).alias("stmt"))
-    unique = S.dedupe_first(S.dedupe_best(S.with_known_columns(named, known)))
+    # the twins below read this several times
+    unique = S.dedupe_first(S.dedupe_best(S.with_known_columns(named, known))).persist()
     if profile == "strict":
         unique = unique.withColumn("stmt", scan.strip_where_udf("stmt"))
     if profile == "baseline_parity":

@@ -10,6 +10,8 @@ from tributary.functions import text as T
 from tributary.operators import parity, resolve, validate
 from tributary.operators import statements as S
 from tributary.plans import corpus
+from tributary.plans.pipeline import best_of
+from tributary.plans.profiles import PROFILES, comply
 from tributary.session import table
 
 QUERIES: dict = {}
@@ -503,3 +505,41 @@ def select_items(spark, sf_dir):
 def lineage_edges(spark, sf_dir):
     """No SQL twin: column references of select lists and assignments."""
     return parity.edges(_base(spark, sf_dir))
+
+
+def _profiled(name: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ops = corpus.operations(spark, sf_dir)
+        files = ops.select("file").distinct()
+        values = files.select("file", F.array(F.struct(F.lit("DT").alias("name"), F.lit("2024-01-31").alias("value"))).alias("vars"))
+        return comply(_base(spark, sf_dir), _contract(spark, sf_dir), S.known_insert_columns(ops), corpus.temps(ops), values, name)
+
+    return run
+
+
+# No SQL twins: the chains end in the scanner's rewrites.
+QUERIES |= {f"profile_{name}": _profiled(name) for name in PROFILES}
+
+
+@query("balanced_parentheses", f"""{_WITH} SELECT pos, len(regexp_extract_all(stmt, '\\(')) = len(regexp_extract_all(stmt, '\\)')) AS balanced FROM statements""")
+def balanced_parentheses(spark, sf_dir):
+    return _base(spark, sf_dir).select("pos", scan.balanced_udf("stmt").alias("balanced"))
+
+
+@query("parity_accept", f"""{_PARITY}, changed AS (SELECT file, pos, replace(stmt, 'mart.r', 'lake.r') AS stmt FROM statements), touched AS (SELECT DISTINCT file FROM changed WHERE regexp_matches(stmt, '(?i)\\bINSERT\\s+INTO\\s+lake'))
+ SELECT s.file, s.pos, CASE WHEN t.file IS NULL OR b.file IS NULL THEN replace(s.stmt, 'mart.r', 'lake.r') ELSE s.stmt END AS stmt FROM statements s LEFT JOIN touched t ON t.file = s.file LEFT JOIN (SELECT DISTINCT file FROM base) b ON b.file = s.file""")
+def parity_accept(spark, sf_dir):
+    """A rewrite that moves insert targets lowers the score of files with a baseline, so only the others take it."""
+    before = _base(spark, sf_dir)
+    after = before.withColumn("stmt", F.replace("stmt", F.lit("mart.r"), F.lit("lake.r")))
+    return parity.accept_if_no_worse(before, after, before.where("CAST(substr(file, 2) AS INT) % 4 <> 3"))
+
+
+@query("best_attempt", f"""{_WITH} SELECT file, 1 AS attempt, pos, stmt FROM statements""")
+def best_attempt(spark, sf_dir):
+    """Three attempts at each file, the first whole, the others with a third of the statements missing or cut off."""
+    base = _base(spark, sf_dir)
+    cut = base.withColumn("stmt", F.when(F.col("pos") % 3 == 0, F.lit("oops")).otherwise(F.col("stmt")))
+    tries = base.where("pos % 3 <> 1").withColumn("attempt", F.lit(2)).unionByName(base.withColumn("attempt", F.lit(1))).unionByName(cut.withColumn("attempt", F.lit(3)))
+    contract = S.write_contract(corpus.operations(spark, sf_dir), corpus.temps(corpus.operations(spark, sf_dir)))
+    return best_of(tries, contract, lambda s: validate.statement_violations(s, explicit_columns=False).where("rule <> 'not_terminated'"))
