@@ -28,7 +28,7 @@ def on(spark):
         (T.normalize_target, "'Db.T' partition (d)", "db.t'"),
         (T.match_key, " #Tmp ", "tmp"),
         (T.tsql_placeholders, "d = '{V}' AND e = {W}", "d = @V AND e = @W"),
-        (T.visual_placeholders, "d = @TANGGAL AND e = @TANGGAL_POSISI", "d = '{tanggal}' AND e = '{tanggal_posisi}'"),
+        (T.visual_placeholders, "d = @AS_OF AND e = @AS_OF_DATE", "d = '{as_of}' AND e = '{as_of_date}'"),
         (T.strip_comments, "a -- x\nb /* y\nz */ c", "a \nb  c"),
         (T.space_partition_by, "OVER (PARTITION BYID_NUMBER)", "OVER (PARTITION BYID_NUMBER)".replace("BYID", "BY ID")),
         (T.close_subquery, "INSERT INTO t SELECT a FROM (SELECT a FROM b JT;", "INSERT INTO t SELECT a FROM (SELECT a FROM b) JT;"),
