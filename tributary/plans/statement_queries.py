@@ -543,3 +543,13 @@ def best_attempt(spark, sf_dir):
     tries = base.where("pos % 3 <> 1").withColumn("attempt", F.lit(2)).unionByName(base.withColumn("attempt", F.lit(1))).unionByName(cut.withColumn("attempt", F.lit(3)))
     contract = S.write_contract(corpus.operations(spark, sf_dir), corpus.temps(corpus.operations(spark, sf_dir)))
     return best_of(tries, contract, lambda s: validate.statement_violations(s, explicit_columns=False).where("rule <> 'not_terminated'"))
+
+
+def _as_text(function, column: str):
+    return lambda spark, sf_dir: function(spark, sf_dir).withColumn(column, F.col(column).cast("string"))
+
+
+# Integers that may be null leave as text: some clients would turn them into floating point.
+for _name, _column in {"nearest_preceding_read": "read_id", "validate_rules": "pos"}.items():
+    QUERIES[_name] = _as_text(QUERIES[_name], _column)
+    ORACLE_SQL[_name] = f"SELECT * REPLACE (CAST({_column} AS VARCHAR) AS {_column}) FROM ({ORACLE_SQL[_name]})"
