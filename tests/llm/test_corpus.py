@@ -266,6 +266,19 @@ def test_language_model(spark, odd, none):
     assert lm_scoring.score_texts(odd).count() == odd.count() and lm_scoring.score_texts(none).count() == 0
 
 
+def test_language_model_keeps_its_depth(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(rng.choice(["the", "cat", "sat", "mat.", "é", "hat"], int(rng.integers(0, 9))).tolist())) for i in range(60)]
+    made = spark.createDataFrame(rows, "doc_id long, text string")
+    score = brute_tree([lm_scoring.words_of(t) for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2], 5)
+    for max_grams in (20, 10**6):
+        got = {r.doc_id: r.score for r in lm_scoring.score_texts(made, max_grams=max_grams).collect()}
+        assert all(got[i] == pytest.approx(score(lm_scoring.words_of(t)), rel=1e-4) for i, t in rows)
+    flat = {r.doc_id: r.score for r in lm_scoring.score_texts(made, depth=0).collect()}
+    score = brute_tree([lm_scoring.words_of(t) for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2], 0)
+    assert all(flat[i] == pytest.approx(score(lm_scoring.words_of(t)), rel=1e-4) for i, t in rows)
+
+
 def test_pipeline(spark, sf, docs):
     kept = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:

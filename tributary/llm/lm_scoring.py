@@ -8,17 +8,20 @@ against the product of its children, from the leaves to the root. With the count
 of the training texts fixed, the weights give one probability for each decision:
 a path that leaves the seen contexts ends in an even split.
 
-The counts are grams of depth + 1 bytes, summed over all training texts by a
-shuffle; the tree is built from them and broadcast. Its size is checked first:
-beyond `max_grams` distinct grams, the deepest depth that fits is taken, for all
-texts alike. Words never reach the driver: each part of the table gets the counts
+The counts are grams of depth + 1 bytes, summed over all training texts. The tree is
+never in one place: contexts that end in the same SPLIT bytes share all nodes from
+there on, so the grams are dealt to groups by these bytes. Each group weights its
+own subtrees and sends up the sums of their roots; the top of the tree (contexts of
+less than SPLIT bytes, at most 256 of them) is made from these and broadcast. Then each
+group gives every distinct gram of a part of the table, seen in training or not, its
+probability, and sends it back to the part. The depth is the same at every size; more
+grams make more groups. Words go the same way: each part of the table gets the counts
 of its own words by a shuffle.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -30,7 +33,10 @@ from pyspark.sql import functions as F
 from tributary.llm.common import crc_bucket, materialize, parts_by_bytes
 
 DEPTH = 5
-MAX_GRAMS = 2_000_000
+#: Bytes next to the symbol that decide a gram's group.
+SPLIT = 2
+#: Gram rows of one group on average: bounds what a task holds, results do not depend on it.
+MAX_GRAMS = 1_000_000
 #: Text bytes of one part, and characters handled at once within it.
 PART_BYTES = 24 << 20
 SLICE_CHARS = 2_000_000
@@ -96,72 +102,100 @@ def kt_log(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return _log_gamma(zeros + 0.5) + _log_gamma(ones + 0.5) - 2 * half - _log_gamma(zeros + ones + 1.0)
 
 
-@dataclass
-class ContextTree:
-    """Fixed predictions of a trained tree.
+#: Nodes of one depth and bit: sorted keys (context, bits), the probability given to a one so far, and the share left for longer contexts.
+Nodes = tuple[np.ndarray, np.ndarray, np.ndarray]
 
-    nodes[d][k] holds, for contexts of d bytes and the first k bits of a byte, the
-    sorted keys (context, bits) and the probability that the next bit is 1 where no
-    longer context was seen.
-    """
 
-    depth: int
-    nodes: list[list[tuple[np.ndarray, np.ndarray]]]
-    #: log10 probability of every gram seen in training, as an open-addressed table
-    slots: np.ndarray = field(default_factory=lambda: np.full(1, -1, dtype=np.int64))
-    values: np.ndarray = field(default_factory=lambda: np.zeros(1, dtype=np.float32))
+def above(keys: np.ndarray, k: int) -> np.ndarray:
+    """Keys of the contexts one byte shorter: the byte farthest from the symbol stands just before the k bits."""
+    return (keys >> (8 + k) << k) | (keys & ((1 << k) - 1))
 
-    @classmethod
-    def trained(cls, grams: np.ndarray, counts: np.ndarray, depth: int) -> ContextTree:
-        """Build from distinct sorted grams of depth + 1 bytes and their counts."""
-        return cls.joined([bit_nodes(grams, counts, depth, k) for k in range(8)], grams, depth)
 
-    @classmethod
-    def joined(cls, by_bit: list[list[tuple[np.ndarray, np.ndarray]]], grams: np.ndarray, depth: int) -> ContextTree:
-        """The tree of the eight bits' nodes, with the probabilities of the seen grams at hand."""
-        tree = cls(depth, [[by_bit[k][d] for k in range(8)] for d in range(depth + 1)])
-        values = np.concatenate([tree._walk(grams[i : i + 200_000]).astype(np.float32) for i in range(0, len(grams), 200_000)] or [np.zeros(0, dtype=np.float32)])
-        tree._hash(grams, values)
-        return tree
+def raised(keys: np.ndarray, zeros: np.ndarray, ones: np.ndarray, weighted: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """Keys one byte shorter, their counts, the log weights summed below them, and each node's parent among them."""
+    parents, link = np.unique(above(keys, k), return_inverse=True)
+    return (parents, *(np.bincount(link, weights=x, minlength=len(parents)) for x in (zeros, ones, weighted)), link)
 
-    def arrays(self) -> list[np.ndarray]:
-        """All arrays, to be sent and put together again by `of_arrays`."""
-        return [a for level in self.nodes for pair in level for a in pair] + [self.slots, self.values]
+
+@dataclass
+class Rise:
+    """Nodes of one bit weighted from the deepest contexts up; lists start at the shallowest."""
+
+    keys: list[np.ndarray]
+    zeros: list[np.ndarray]
+    ones: list[np.ndarray]
+    #: a node's share of its own estimate against its children's
+    own: list[np.ndarray]
+    links: list[np.ndarray]
+    #: log weights of the shallowest nodes
+    weighted: np.ndarray
 
     @classmethod
-    def of_arrays(cls, depth: int, arrays: list[np.ndarray]) -> ContextTree:
-        couples = list(zip(arrays[::2], arrays[1::2], strict=True))
-        return cls(depth, [couples[8 * d : 8 * d + 8] for d in range(depth + 1)], *couples[-1])
-
-    def _walk(self, codes: np.ndarray) -> np.ndarray:
-        """log10 probability of each code, bit by bit through the longest seen contexts."""
-        total = np.zeros(len(codes))
-        context, symbol = codes >> 8, codes & 255
-        for k in range(8):
-            p = np.full(len(codes), 0.5)
-            todo = np.arange(len(codes))
-            for d in range(self.depth, -1, -1):
-                keys, ones = self.nodes[d][k]
-                if not len(keys) or not len(todo):
-                    continue
-                wanted = (context[todo] >> (8 * (self.depth - d)) << k) | (symbol[todo] >> (8 - k))
-                at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-                hit = keys[at] == wanted
-                p[todo[hit]] = ones[at[hit]]
-                todo = todo[~hit]
-            total += np.log10(np.where((symbol >> (7 - k)) & 1, p, 1 - p))
-        return total
+    def of(cls, keys: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray | None, levels: int, k: int) -> Rise:
+        """From nodes of one depth to those `levels` bytes shorter; below: log weights summed over children, None for leaves."""
+        out = cls([], [], [], [], [], np.zeros(0))
+        for level in range(levels + 1):
+            kt = kt_log(zeros, ones)
+            both = kt if below is None else np.logaddexp(kt, below) - np.log(2)
+            out.keys.append(keys)
+            out.zeros.append(zeros)
+            out.ones.append(ones)
+            out.own.append(np.ones(len(kt)) if below is None else np.exp(kt - np.log(2) - both))
+            out.weighted = both
+            if level < levels:
+                keys, zeros, ones, below, link = raised(keys, zeros, ones, both, k)
+                out.links.append(link)
+        for x in (out.keys, out.zeros, out.ones, out.own, out.links):
+            x.reverse()
+        return out
+
+    def descend(self, given: np.ndarray, left: np.ndarray) -> list[Nodes]:
+        """Predictions from the shallowest nodes down, which get `given` and `left` from above."""
+        out = []
+        for d, keys in enumerate(self.keys):
+            if d:
+                given, left = given[self.links[d - 1]], left[self.links[d - 1]]
+            given = given + left * self.own[d] * (self.ones[d] + 0.5) / (self.zeros[d] + self.ones[d] + 1)
+            left = left * (1 - self.own[d])
+            out.append((keys, given, left))
+        return out
+
+
+def subtrees(grams: np.ndarray, counts: np.ndarray, levels: int, k: int) -> Rise:
+    """Nodes of bit k of distinct sorted grams, up to contexts `levels` bytes shorter."""
+    prefix = grams >> (8 - k)
+    firsts = np.flatnonzero(np.r_[True, prefix[1:] != prefix[:-1]]) if len(grams) else np.zeros(0, dtype=np.int64)
+    n = counts.astype(np.float64)
+    if not len(firsts):
+        return Rise.of(prefix, n, n, None, levels, k)
+    ones = np.add.reduceat(n * ((grams >> (7 - k)) & 1), firsts)
+    return Rise.of(prefix[firsts], np.add.reduceat(n, firsts) - ones, ones, None, levels, k)
+
+
+def walk(codes: np.ndarray, nodes: list[Nodes], k: int) -> np.ndarray:
+    """log10 probability of bit k of each code, by the longest seen context."""
+    depth = len(nodes) - 1
+    context, symbol = codes >> 8, codes & 255
+    p = np.full(len(codes), 0.5)
+    todo = np.arange(len(codes))
+    for d in range(depth, -1, -1):
+        keys, given, left = nodes[d]
+        if not len(keys) or not len(todo):
+            continue
+        wanted = (context[todo] >> (8 * (depth - d)) << k) | (symbol[todo] >> (8 - k))
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        hit = keys[at] == wanted
+        p[todo[hit]] = given[at[hit]] + left[at[hit]] * 0.5
+        todo = todo[~hit]
+    return np.log10(np.where((symbol >> (7 - k)) & 1, p, 1 - p))
 
-    def _place(self, codes: np.ndarray) -> np.ndarray:
-        spread = codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        return (spread >> np.uint64(64 - self._bits)).astype(np.int64)
 
-    @property
-    def _bits(self) -> int:
-        return max(1, len(self.slots).bit_length() - 1)
+class GramTable:
+    """Values of distinct grams in an open-addressed table."""
 
-    def _hash(self, codes: np.ndarray, values: np.ndarray) -> None:
+    def __init__(self, codes: np.ndarray, values: np.ndarray) -> None:
         size = 1 << max(1, (len(codes) * 4 // 3).bit_length())
+        self.shift = np.uint64(65 - size.bit_length())
         self.slots = np.full(size, -1, dtype=np.int64)
         self.values = np.zeros(size, dtype=np.float32)
         at, todo = self._place(codes), np.arange(len(codes))
@@ -173,80 +207,24 @@ class ContextTree:
             todo = todo[~won]
             at[todo] = (at[todo] + 1) % size
 
-    def log10(self, codes: np.ndarray) -> np.ndarray:
-        """log10 probability of each symbol in its context."""
-        out = np.zeros(len(codes))
-        if not len(codes):
-            return out
+    def _place(self, codes: np.ndarray) -> np.ndarray:
+        return (codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def of(self, codes: np.ndarray) -> np.ndarray:
+        """The value of each code; all must be there."""
         at = self._place(codes)
-        held = self.slots[at]
-        hit = held == codes
-        out[hit] = self.values[at[hit]]
-        todo = np.flatnonzero(~hit & (held >= 0))
-        missing = [np.flatnonzero(held < 0)]
-        step = at[todo]
+        todo = np.flatnonzero(self.slots[at] != codes)
         while len(todo):
-            step = (step + 1) % len(self.slots)
-            held = self.slots[step]
-            hit = held == codes[todo]
-            out[todo[hit]] = self.values[step[hit]]
-            missing.append(todo[held < 0])
-            going = ~hit & (held >= 0)
-            todo, step = todo[going], step[going]
-        new = np.concatenate(missing)
-        if len(new):
-            distinct, inverse = np.unique(codes[new], return_inverse=True)
-            out[new] = self._walk(distinct)[inverse]
-        return out
-
-
-def bit_nodes(grams: np.ndarray, counts: np.ndarray, depth: int, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Keys and predictions of the nodes of bit k, for contexts of 0 to depth bytes."""
-    levels: list[tuple[np.ndarray, np.ndarray]] = [(grams, counts.astype(np.float64))]
-    for _ in range(depth):
-        keys, n = levels[-1]
-        # leaving out the context's farthest byte, which stands just before the symbol
-        levels.append(summed((keys >> 16 << 8) | (keys & 255), n))
-    levels.reverse()
-    tables = []
-    for keys, n in levels:
-        prefix = keys >> (8 - k)
-        firsts = np.flatnonzero(np.r_[True, prefix[1:] != prefix[:-1]]) if len(keys) else np.zeros(0, dtype=np.int64)
-        if not len(firsts):
-            tables.append((prefix, n, n, n))
-            continue
-        ones = np.add.reduceat(n * ((keys >> (7 - k)) & 1), firsts)
-        zeros = np.add.reduceat(n, firsts) - ones
-        tables.append((prefix[firsts], zeros, ones, kt_log(zeros, ones)))
-    # weights from the leaves up: own[d] is the share of a node's own estimate
-    weighted = tables[depth][3]
-    own, links = [np.ones(len(weighted))], []
-    for d in range(depth - 1, -1, -1):
-        child = tables[d + 1][0]
-        parent = np.searchsorted(tables[d][0], (child >> (8 + k) << k) | (child & ((1 << k) - 1)))
-        below = np.bincount(parent, weights=weighted, minlength=len(tables[d][0]))
-        both = np.logaddexp(tables[d][3], below) - np.log(2)
-        own.append(np.exp(tables[d][3] - np.log(2) - both))
-        links.append(parent)
-        weighted = both
-    own.reverse()
-    links.reverse()
-    # probabilities from the root down: what the path gave so far, and the share left for longer contexts
-    out: list[tuple[np.ndarray, np.ndarray]] = []
-    given = left = None
-    for d, (keys, zeros, ones, _) in enumerate(tables):
-        share = own[d] if d == 0 else left[links[d - 1]] * own[d]
-        rest = 1 - own[d] if d == 0 else left[links[d - 1]] * (1 - own[d])
-        estimate = (ones + 0.5) / (zeros + ones + 1)
-        given = share * estimate if d == 0 else given[links[d - 1]] + share * estimate
-        left = rest
-        out.append((keys, (given + left * 0.5).astype(np.float32)))
-    return out
+            if (self.slots[at[todo]] < 0).any():
+                raise KeyError("a gram without a probability")
+            at[todo] = (at[todo] + 1) % len(self.slots)
+            todo = todo[self.slots[at[todo]] != codes[todo]]
+        return self.values[at].astype(np.float64)
 
 
 def _tally(depth: int):
     def tally(table: pa.Table) -> pa.Table:
-        """One part's words with their training counts (0 for held-out words), and its training grams."""
+        """One part's words and grams with their training counts, 0 for those of held-out texts only."""
         part = table.column("part")[0].as_py()
         learn = table.column("learn").to_pylist()
         tallies: list[list] = [[], []]
@@ -258,9 +236,11 @@ def _tally(depth: int):
             keys = hashed([w for words in split for w in words])
             counts = np.repeat(flags, [len(words) for words in split]).astype(np.int64)
             tallies[WORDS].append(summed(keys, counts))
-            codes, _ = gram_codes([words for words, flag in zip(split, flags, strict=True) if flag], depth)
-            tallies[GRAMS].append(summed(codes))
-            if len(tallies[GRAMS]) >= 4:
+            for learnt in (True, False):
+                codes, _ = gram_codes([words for words, flag in zip(split, flags, strict=True) if flag == learnt], depth)
+                distinct, times = summed(codes)
+                tallies[GRAMS].append((distinct, times * learnt))
+            if len(tallies[GRAMS]) >= 8:
                 tallies = [[summed(*(np.concatenate(x) for x in zip(*t, strict=True)))] for t in tallies]
         out = [summed(*(np.concatenate(x) for x in zip(*t, strict=True))) for t in tallies]
         sizes = [len(keys) for keys, _ in out]
@@ -274,43 +254,61 @@ def _tally(depth: int):
     return tally
 
 
-def train(counts: DataFrame, depth: int, max_grams: int) -> tuple[int, list[np.ndarray]]:
-    """Depth and arrays of the tree from a (kind, key, n) table of part counts, at the deepest depth that fits.
-
-    The eight bits' nodes are built by eight tasks from the broadcast grams, so that
-    the driver holds the finished arrays only.
-    """
+def gram_scores(counts: DataFrame, depth: int, max_grams: int) -> DataFrame:
+    """(part, key, value): the log10 probability of each gram of a (kind, part, key, n) table of part counts."""
     spark = counts.sparkSession
-    grams = counts.where(F.col("kind") == GRAMS).groupBy("key").agg(F.sum("n").alias("n"))
-    while True:
-        grams = materialize(grams, "lm-grams")
-        if grams.count() <= max_grams or depth == 0:
-            break
-        depth -= 1
-        shorter = F.shiftleft(F.shiftright("key", 16), 8).bitwiseOR(F.col("key").bitwiseAND(F.lit(255)))
-        grams = grams.groupBy(shorter.alias("key")).agg(F.sum("n").alias("n"))
-    held = grams.toArrow()
-    keys, n = held.column("key").to_numpy(), held.column("n").to_numpy()
-    order = np.argsort(keys)
-    keys, n = keys[order], n[order]
-    del held, order
-    shared = spark.sparkContext.broadcast((keys, n))
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in batch.column(0).to_pylist():
-                made = bit_nodes(*shared.value, depth, k)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([k] * len(made), pa.int64()), pa.array(range(len(made)), pa.int32()), pa.array([x.tobytes() for x, _ in made], pa.binary()), pa.array([p.tobytes() for _, p in made], pa.binary())],
-                    names=["k", "d", "keys", "ones"],
-                )
-
-    rows = spark.range(0, 8, 1, 8).mapInArrow(build, "k long, d int, keys binary, ones binary").toLocalIterator()
-    by_bit: list[list] = [[None] * (depth + 1) for _ in range(8)]
-    for r in rows:
-        by_bit[r["k"]][r["d"]] = (np.frombuffer(r["keys"], dtype="<i8"), np.frombuffer(r["ones"], dtype="<f4"))
-    tree = ContextTree.joined(by_bit, keys, depth)
-    return depth, tree.arrays()
+    low = min(SPLIT, depth)
+    grams = counts.where(F.col("kind") == GRAMS)
+    groups = max(8, -(-grams.count() // max_grams))
+    ending = F.shiftright("key", 8 * (depth - low + 1))
+    dealt = grams.select(F.pmod(F.xxhash64(ending), F.lit(groups)).cast("int").alias("group"), "part", "key", "n")
+
+    def totals(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        return summed(table.column("key").to_numpy(), table.column("n").to_numpy())
+
+    def rise(table: pa.Table) -> pa.Table:
+        """Sums of the group's subtrees for the contexts right above them."""
+        keys, n = totals(table)
+        keys, n = keys[n > 0], n[n > 0]
+        rises = [subtrees(keys, n, depth - low, k) for k in range(8)]
+        rows = [raised(r.keys[0], r.zeros[0], r.ones[0], r.weighted, k)[:4] for k, r in enumerate(rises)]
+        bits = np.repeat(np.arange(8), [len(r[0]) for r in rows])
+        columns = [np.concatenate(x) for x in zip(*rows, strict=True)]
+        return pa.table({
+            "k": pa.array(bits, pa.int32()), "key": pa.array(columns[0], pa.int64()), "zeros": pa.array(columns[1], pa.float64()),
+            "ones": pa.array(columns[2], pa.float64()), "below": pa.array(columns[3], pa.float64()),
+        })
+
+    top: list[list[Nodes]] = [[] for _ in range(8)]
+    if low:
+        # summed in order, so that every run gives the same; at most 255 rows for each of 256 contexts
+        below = F.aggregate(F.array_sort(F.collect_list("below")), F.lit(0.0), lambda x, y: x + y)
+        risen = (
+            dealt.select("group", "key", "n").groupBy("group").applyInArrow(rise, "k int, key long, zeros double, ones double, below double")
+            .groupBy("k", "key").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), below.alias("below")).orderBy("k", "key").toArrow()
+        )
+        bits, *columns = (c.to_numpy() for c in risen.columns)
+        for k in range(8):
+            rose = Rise.of(*(c[bits == k] for c in columns), low - 1, k)
+            top[k] = rose.descend(np.zeros(len(rose.keys[0])), np.ones(len(rose.keys[0])))
+    shared = spark.sparkContext.broadcast(top)
+
+    def give(table: pa.Table) -> pa.Table:
+        keys, n = totals(table)
+        values = np.zeros(len(keys))
+        for k, upper in enumerate(shared.value):
+            rose = subtrees(keys[n > 0], n[n > 0], depth - low, k)
+            given, left = np.zeros(len(rose.keys[0])), np.ones(len(rose.keys[0]))
+            if low:
+                at = np.searchsorted(upper[-1][0], above(rose.keys[0], k))
+                given, left = upper[-1][1][at], upper[-1][2][at]
+            nodes = [*upper, *rose.descend(given, left)]
+            for i in range(0, len(keys), 200_000):
+                values[i : i + 200_000] += walk(keys[i : i + 200_000], nodes, k)
+        at = np.searchsorted(keys, table.column("key").to_numpy())
+        return pa.table({"part": table.column("part"), "key": table.column("key"), "value": pa.array(values[at], pa.float32())})
+
+    return dealt.groupBy("group").applyInArrow(give, "part int, key long, value float")
 
 
 def score_texts(
@@ -327,8 +325,8 @@ def score_texts(
     not learnt from (a null id counts as the empty text). A null text is an empty
     one: its end mark alone. Repeated rows each count. Other columns are not read.
     An empty table gives an empty one; without training rows every byte costs 8 bits.
+    max_grams bounds the gram rows that a task holds; scores do not depend on it.
     """
-    spark = docs.sparkSession
     size = F.coalesce(F.octet_length(text_col), F.lit(0))
     total, rows = docs.agg(F.sum(size), F.count("*")).first()
     parts = max(1, min(rows, max(-(-int(total or 0) // PART_BYTES), min(8, -(-int(total or 0) // (1 << 20))))))
@@ -350,17 +348,20 @@ def score_texts(
     trained_rows = dealt.where(~F.col("out")).count()
     n_all = int(seen["tokens"] or 0) + trained_rows
     n_distinct = int(seen["distinct"] or 0) + (1 if trained_rows else 0)
-    model = spark.sparkContext.broadcast(train(counts, depth, max_grams))
-    known = words.select("part", "key", F.sum("n").over(W.partitionBy("key")).alias("n"))
+    known = words.select("part", "kind", "key", F.sum("n").over(W.partitionBy("key")).cast("double").alias("value")).unionByName(
+        gram_scores(counts, depth, max_grams).withColumn("kind", F.lit(GRAMS))
+    )
     floor = float(np.log10(n_all + n_distinct + 1))
     end_gain = float(np.log10(trained_rows + 1))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def score(texts: pa.Table, counted: pa.Table) -> pa.Table:
-        tree = ContextTree.of_arrays(*model.value)
-        keys = counted.column("key").to_numpy()
+        is_word = counted.column("kind").to_numpy() == WORDS
+        keys, value = counted.column("key").to_numpy(), counted.column("value").to_numpy()
+        grams = GramTable(keys[~is_word], value[~is_word])
+        keys, n = keys[is_word], value[is_word].astype(np.int64)
         order = np.argsort(keys)
-        keys, n = keys[order], counted.column("n").to_numpy()[order]
+        keys, n = keys[order], n[order]
         columns: list[list[np.ndarray]] = [[], [], [], [], []]
         for some in parts_by_bytes((t.as_py() for t in texts.column("text")), SCORE_CHARS):
             split = [words_of(t) for t in some]
@@ -368,12 +369,12 @@ def score_texts(
             times = n[np.searchsorted(keys, hashed([w for words in split for w in words]))] if lengths.sum() else np.zeros(0)
             owner = np.repeat(np.arange(len(split)), lengths)
             gain = np.bincount(owner, weights=np.log10(times + 1.0), minlength=len(split)) + end_gain
-            codes, sizes = gram_codes(split, tree.depth)
+            codes, sizes = gram_codes(split, depth)
             ends = np.repeat(np.arange(len(split)), sizes)
             columns[0].append(lengths + 1)
             columns[1].append(np.bincount(owner, weights=times > 0, minlength=len(split)).astype(np.int64) + (trained_rows > 0))
             columns[2].append(gain - (lengths + 1) * floor)
-            columns[3].append(np.bincount(ends, weights=tree.log10(codes), minlength=len(split)))
+            columns[3].append(np.bincount(ends, weights=grams.of(codes), minlength=len(split)))
             columns[4].append(-columns[3][-1] * np.log2(10) / sizes)
         n_tokens, n_known, base, value, bits = (np.concatenate(c) for c in columns) if columns[0] else [np.zeros(0)] * 5
         return pa.table({
