@@ -138,6 +138,35 @@ def test_near_duplicates(spark, odd, none):
     assert kept.where("text = 'another text of the same id here'").count() == 1
 
 
+def test_bands_leave_every_set_enough_segments(spark):
+    bands = jaccard_join.Bands.of(*jaccard_join.SIMILARITY)
+    rng = np.random.default_rng(1)
+    last = len(jaccard_join.LEVELS)
+    lost = 0
+    for size in (4, 5, 6, 8):
+        band = bands.band(size)
+        sets = [np.unique(rng.integers(0, 1 << 62, size).astype(np.uint64)) for _ in range(1000)]
+        good = [bands.good_levels(t) for t in sets]
+        level = bands.band_level(int(np.bitwise_and.reduce(good)))
+        wanted = bands.differences(size) + 1
+        assert level <= last and all(len(jaccard_join.signatures(t, band, bands.segments(band, level))) >= wanted for t in sets)
+        # the largest of the sets' first levels, which a band must not take
+        first = max((g & -g).bit_length() - 1 for g in good)
+        lost += sum(len(jaccard_join.signatures(t, band, bands.segments(band, first))) < wanted for t in sets)
+    assert lost
+
+
+def test_short_links_are_kept(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(3000):
+        base = [f"v{x}" for x in rng.integers(0, 10**6, 9)]
+        rows += [(2 * i, " ".join(base[:8])), (2 * i + 1, " ".join(base))]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = {r.doc_id: r.component_id for r in got.collect()}
+    assert [i for i in range(3000) if found[2 * i + 1] != 2 * i] == []
+
+
 def test_blocks_agree(spark):
     rng = np.random.default_rng(3)
     left = [np.unique(rng.integers(0, 300, 80)).astype(np.uint64) for _ in range(20)]
