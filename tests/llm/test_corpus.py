@@ -212,6 +212,21 @@ def test_toxicity(spark, odd, none):
     assert toxicity.drop_toxic(odd, labels).columns == odd.columns
 
 
+def test_toxicity_of_a_small_table(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(90):
+        body = [f"word{j}" for j in rng.integers(0, 200, 40)]
+        if i % 9 == 0:
+            body[3] = ("dolt", "nitwit")[i // 9 % 2]
+        rows.append((i, " ".join(body)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 9 == 0)) for i in range(90)], "doc_id long, toxic int")
+    got = toxicity.score_toxicity(docs, labels).collect()
+    assert all(r.n_terms > 0 and r.evidence for r in got if r.doc_id % 9 == 0)
+    assert all(r.predicted == 1 for r in got if r.doc_id % 9 == 0)
+
+
 def test_nearest_is_exact():
     rng = np.random.default_rng(5)
     pairs = []

@@ -1,9 +1,12 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 Terms are lower-cased words and their first 4, 5 and 6 bytes (inflected insults
-share a stem). Terms that mark toxic training texts form the vocabulary; their
-document frequencies come from all texts. A text's vector holds its terms of the
-vocabulary. Its nearest examples come from an inverted index whose postings lie
+share a stem). A term counts by its inverse document frequency times the logarithm
+of its lift: how much more often toxic training texts have it than all training
+texts. Every term of two toxic training texts or more whose lift is above 1 has a
+weight, at every table size; the vocabulary holds those that a toxic example has,
+as no other can lead to one. A text's vector holds its terms of the vocabulary.
+Its nearest examples come from an inverted index whose postings lie
 in blocks of examples: each term knows its largest weight in a block, blocks are
 scored in order of the summed bounds, and the search ends when the next bound is
 below the k-th similarity, so the neighbours are exact. Votes weighted by
@@ -29,10 +32,8 @@ NEIGHBOURS = 16
 BLOCK = 64
 #: Examples of each class, the ones with the smallest text hashes: the bound on the labelled rows the index holds.
 MAX_EXAMPLES = 2048
-#: A term must be in this share of the toxic training texts (so at most terms-a-text / share terms are candidates) and in so many.
-MIN_SHARE, MIN_TEXTS = 0.005, 3
-#: Least z-score against independence, and least share of toxic texts among the training texts that have the term.
-MIN_Z, MIN_PRECISION = 7.0, 0.6
+#: A term must be in so many toxic training texts, whatever the size of the table.
+MIN_TEXTS = 2
 STEMS = (4, 5, 6)
 MAX_BROADCAST_ROWS = 1_000_000
 PART_CHARS = 2_000_000
@@ -101,19 +102,28 @@ class ExampleIndex:
         blocks = self.peaks.shape[1]
         bounds = values @ self.peaks[terms]
         found, sims = np.zeros(0, dtype=np.int64), np.zeros(0)
-        for b in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[b] <= 0 or (len(sims) == k and bounds[b] < sims[-1] - 1e-12):
+        order = np.argsort(-bounds, kind="stable")
+        begin, step = 0, 2
+        while begin < blocks:
+            some = order[begin : begin + step]
+            some = some[bounds[some] > 0]
+            if len(sims) == k:
+                some = some[bounds[some] >= sims[-1] - 1e-12]
+            if not len(some):
                 break
-            scores = np.zeros(BLOCK)
-            for t, v in zip(terms.tolist(), values.tolist(), strict=True):
-                lo, hi = self.offsets[t * blocks + b], self.offsets[t * blocks + b + 1]
-                scores[self.at[lo:hi] - b * BLOCK] += v * self.value[lo:hi]
+            cells = (terms[:, None] * blocks + some[None, :]).ravel()
+            lo = self.offsets[cells]
+            runs = self.offsets[cells + 1] - lo
+            ends = np.cumsum(runs)
+            at = np.arange(ends[-1]) + np.repeat(lo - ends + runs, runs)
+            scores = np.bincount(self.at[at], weights=np.repeat(np.repeat(values, len(some)), runs) * self.value[at], minlength=len(self.labels))
             here = np.flatnonzero(scores > 0)
-            here = here[here + b * BLOCK != skip]
-            found = np.concatenate([found, here + b * BLOCK])
+            here = here[here != skip]
+            found = np.concatenate([found, here])
             sims = np.concatenate([sims, scores[here]])
             best = np.lexsort((found, -np.round(sims, 12)))[:k]
             found, sims = found[best], sims[best]
+            begin, step = begin + step, step * 2
         return found, sims
 
     def vote(self, found: np.ndarray, sims: np.ndarray) -> float:
@@ -145,13 +155,13 @@ class Model:
     """What scoring needs, small enough to broadcast: bounded by the vocabulary and MAX_EXAMPLES."""
 
     vocabulary: list[bytes]
-    idf: np.ndarray
+    weight: np.ndarray
     index: ExampleIndex
     knots: tuple[np.ndarray, np.ndarray]
     without_terms: float
 
     def vector(self, terms: list[int], counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        return unit_vector(terms, counts, self.idf)
+        return unit_vector(terms, counts, self.weight)
 
     def score(self, terms: list[int], counts: list[int]) -> tuple[float, np.ndarray]:
         if not terms or not len(self.index.labels):
@@ -161,9 +171,9 @@ class Model:
         return float(np.interp(vote, *self.knots)), found
 
 
-def unit_vector(terms: list[int], counts: list[int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def unit_vector(terms: list[int] | np.ndarray, counts: list[int] | np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     t = np.array(terms, dtype=np.int64)
-    v = (1 + np.log(np.array(counts, dtype=np.float64))) * idf[t]
+    v = (1 + np.log(np.array(counts, dtype=np.float64))) * weight[t]
     return t, v / np.sqrt(v @ v)
 
 
@@ -175,8 +185,8 @@ def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.
             at += len(part)
 
 
-def _candidates(toxic: DataFrame, text_col: str) -> tuple[list[bytes], np.ndarray, int]:
-    """Terms of at least MIN_SHARE of the toxic training texts, and in how many of them they are."""
+def _candidates(toxic: DataFrame, id_col: str, text_col: str) -> tuple[list[bytes], np.ndarray, int]:
+    """Terms of the toxic examples that MIN_TEXTS toxic training texts have, and in how many of all these they are."""
     n = toxic.count()
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,9 +196,11 @@ def _candidates(toxic: DataFrame, text_col: str) -> tuple[list[bytes], np.ndarra
                 total.update({t for w in set(words_of(text)) for t in terms_of(w)})
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], names=["term", "n"])
 
+    examples = toxic.orderBy(F.xxhash64(text_col), id_col).limit(MAX_EXAMPLES).select(text_col)
+    theirs = examples.mapInArrow(tally, "term binary, n long").select("term").distinct()
     found = (
         toxic.select(text_col).mapInArrow(tally, "term binary, n long").groupBy("term").agg(F.sum("n").alias("n"))
-        .where(F.col("n") >= max(MIN_TEXTS, MIN_SHARE * n)).orderBy("term").toArrow()
+        .where(F.col("n") >= MIN_TEXTS).join(theirs, "term", "left_semi").orderBy("term").toArrow()
     )
     return found.column("term").to_pylist(), found.column("n").to_numpy(), n
 
@@ -220,13 +232,10 @@ def _frequencies(tagged: DataFrame, vocabulary: list[bytes]) -> tuple[np.ndarray
     return out[0, :-1], out[1, :-1], int(out[0, -1]), int(out[1, -1])
 
 
-def _select(toxic_n: np.ndarray, clean_n: np.ndarray, toxic: int, clean: int) -> np.ndarray:
-    """Terms whose toxic count lies far above independence and that are mostly toxic."""
+def _lift(toxic_n: np.ndarray, clean_n: np.ndarray, toxic: int, clean: int) -> np.ndarray:
+    """Logarithm of the share of toxic texts among those with each term over their share at large; one more text at large for each, 0 at least."""
     share = toxic / max(1, toxic + clean)
-    have = toxic_n + clean_n
-    spread = np.sqrt(np.maximum(have * share * (1 - share), 1e-9))
-    z = (toxic_n - have * share) / spread
-    return np.flatnonzero((z >= MIN_Z) & (toxic_n >= MIN_PRECISION * have))
+    return np.maximum(0.0, np.log((toxic_n + share) / ((toxic_n + clean_n + 1) * share))) if toxic else np.zeros(len(toxic_n))
 
 
 def score_toxicity(
@@ -261,11 +270,12 @@ def score_toxicity(
         .withColumn("__tx_label", F.when(~F.col("__tx_held"), F.col("__tx_mark")))
         .drop("__tx_key", "__tx_mark")
     )
-    candidates, toxic_n, toxic = _candidates(tagged.where("__tx_label = 1"), "__tx_text")
+    candidates, toxic_n, toxic = _candidates(tagged.where("__tx_label = 1"), "__tx_id", "__tx_text")
     df, clean_n, total, clean = _frequencies(tagged, candidates)
-    chosen = _select(toxic_n, clean_n, toxic, clean) if toxic else np.zeros(0, dtype=np.int64)
+    lift = _lift(toxic_n, clean_n, toxic, clean)
+    chosen = np.flatnonzero(lift > 0)
     vocabulary = [candidates[i] for i in chosen]
-    idf = np.log((1 + total) / (1 + df[chosen])) + 1
+    weight = (np.log((1 + total) / (1 + df[chosen])) + 1) * lift[chosen]
     shared_vocabulary = spark.sparkContext.broadcast(vocabulary)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,37 +302,40 @@ def score_toxicity(
     }
     bare_toxic, bare_clean = classes.get((1, False), 0), classes.get((0, False), 0)
     without = (bare_toxic + 0.5) / (bare_toxic + bare_clean + 1) if toxic else 0.0
-    rows = []
+    taken, pairs, ids = [], [], []
     for label in (0, 1):
-        rows += made.where((F.col("label") == label) & (F.size("terms") > 0)).orderBy("tag", "id").limit(MAX_EXAMPLES).collect()
-    taken = Counter(r["label"] for r in rows)
-    ys = np.array([r["label"] for r in rows], dtype=np.float64)
-    ws = np.array([classes[r["label"], True] / taken[r["label"]] for r in rows], dtype=np.float64)
-    pairs = [unit_vector(r["terms"], r["counts"], idf) for r in rows]
-    index = ExampleIndex.of(pairs, ys, ws, np.array([r["id"] for r in rows], dtype=object), len(vocabulary))
+        mine = made.where((F.col("label") == label) & (F.size("terms") > 0))
+        # the bound first, so that tasks do not send MAX_EXAMPLES vectors each
+        last = mine.select("tag").orderBy("tag").limit(MAX_EXAMPLES).agg(F.max("tag")).first()[0]
+        rows = mine.where(F.col("tag") <= F.lit(last)).orderBy("tag", "id").limit(MAX_EXAMPLES).select("id", "terms", "counts").toArrow()
+        pairs += [unit_vector(t.values.to_numpy(), c.values.to_numpy(), weight) for t, c in zip(rows.column("terms"), rows.column("counts"), strict=True)]
+        ids += rows.column("id").to_pylist()
+        taken.append(len(rows))
+    ys = np.repeat([0.0, 1.0], taken)
+    ws = np.repeat([classes.get((label, True), 0) / max(1, taken[label]) for label in (0, 1)], taken)
+    index = ExampleIndex.of(pairs, ys, ws, np.array(ids, dtype=object), len(vocabulary))
     votes = np.array([index.vote(*index.nearest(*pair, NEIGHBOURS, skip=i)) for i, pair in enumerate(pairs)])
-    knots = isotonic(votes, ys, ws) if len(rows) else (np.array([0.0, 1.0]), np.array([without, without]))
-    model = spark.sparkContext.broadcast(Model(vocabulary, idf, index, knots, without))
+    knots = isotonic(votes, ys, ws) if pairs else (np.array([0.0, 1.0]), np.array([without, without]))
+    model = spark.sparkContext.broadcast(Model(vocabulary, weight, index, knots, without))
     id_type = made.schema["id"].dataType
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        seen: dict[tuple, tuple[float, list]] = {}
+        seen: dict[int, tuple[float, list]] = {}
         for batch in batches:
             scores, near = [], []
-            for terms, counts in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                key = (*terms, *counts)
+            for key, terms, counts in zip(batch.column(4).to_pylist(), batch.column(2), batch.column(3), strict=True):
                 if key not in seen:
                     if len(seen) > 100_000:
                         seen.clear()
-                    value, found = m.score(terms, counts)
+                    value, found = m.score(terms.as_py(), counts.as_py())
                     seen[key] = (value, m.index.ids[found].tolist())
                 scores.append(seen[key][0])
                 near.append(seen[key][1])
             columns = [
                 batch.column(0), batch.column(1), pa.array(scores, pa.float64()),
                 pa.array([int(s >= 0.5) for s in scores], pa.int32()),
-                pa.array([len(x) for x in batch.column(2).to_pylist()], pa.int32()),
+                batch.column(2).value_lengths(),
                 pa.array(near, pa.list_(batch.schema.field(0).type)), batch.column(4),
             ]
             yield pa.RecordBatch.from_arrays(columns, names=[id_col, "held_out", "score", "predicted", "n_terms", "evidence", "text_hash"])
