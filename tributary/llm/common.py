@@ -12,14 +12,18 @@ from pyspark.sql import functions as F
 
 #: Words are maximal runs of bytes that are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+_LOCAL_ROOTS: dict[str, str] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a private one only where it is unset."""
+    """The shared folder named by spark.checkpoint.dir; a private one only where it is unset and one machine runs everything."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="tributary-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = _LOCAL_ROOTS.get(spark.sparkContext.applicationId)
+        if root is None:
+            root = _LOCAL_ROOTS[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="tributary-")
     return root.rstrip("/")
 
 
@@ -39,27 +43,24 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def drop_scratch(spark: SparkSession, path: str) -> None:
-    """Delete a scratch table that nothing reads any more."""
-    _remove(spark, path)
-
-
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back.
 
     Cuts lineage so that a lost executor costs a re-read, not a recomputation.
-    An empty frame keeps its schema.
+    An empty frame keeps its schema. `release` deletes the table early.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_table = path
+    return out
 
 
-def slices(texts: list, size: int) -> Iterator[tuple[int, list]]:
-    """(offset, part) of a list, to bound temporary memory."""
-    for start in range(0, len(texts), size):
-        yield start, texts[start : start + size]
+def release(*tables: DataFrame) -> None:
+    """Delete tables that `materialize` returned and that nothing will read again."""
+    for table in tables:
+        _remove(table.sparkSession, table.scratch_table)
 
 
 def parts_by_bytes(texts: Iterable[str | None], limit: int) -> Iterator[list[str]]:
