@@ -372,6 +372,16 @@ def update_to_insert(stmt: Column, known: Column | None = None) -> Column:
     return F.when((target != "") & (F.size(sources) > 0), built).otherwise(terminated(stmt))
 
 
+def written_columns(stmt: Column) -> Column:
+    """Names that an UPDATE compares or assigns, and the ones it filters by IN or BETWEEN."""
+    return F.concat(
+        _all(stmt, r"\b([A-Za-z_]\w*)\s*="),
+        _all(stmt, r"(?i)\bWHERE\s+([A-Za-z_]\w*)\s+IN\s*\("),
+        _all(stmt, r"(?i)\bBETWEEN\s+([A-Za-z_]\w*)\s+AND\s+[A-Za-z_]\w*"),
+        _all(stmt, r"(?i)\bBETWEEN\s+[A-Za-z_]\w*\s+AND\s+([A-Za-z_]\w*)"),
+    )
+
+
 def synthetic_temp_chain(stmt: Column) -> Column:
     """INSERT INTO #temp_table_n .. FROM #temp_table_m."""
     clean = strip_comments(stmt)

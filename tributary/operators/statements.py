@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tributary.functions import scan
 from tributary.functions import text as T
 
 
@@ -268,3 +269,49 @@ def with_known_columns(statements: DataFrame, known: DataFrame) -> DataFrame:
     by_source = k.select("file", F.col("__key").alias("__s"), F.col("columns").alias("__cs"))
     both = s.join(by_target, ["file", "__t"], "left").join(by_source, ["file", "__s"], "left")
     return both.select("file", "pos", T.terminated(T.force_columns(F.col("stmt"), F.coalesce("__ct", "__cs"))).alias("stmt"))
+
+
+def _first_spellings(rows: DataFrame) -> DataFrame:
+    """(file, names): of names that differ in case only the first of each file."""
+    first = rows.groupBy("file", F.lower("name").alias("key")).agg(F.min_by("name", F.struct("at", "nth")).alias("name"))
+    return first.groupBy("file").agg(F.array_sort(F.collect_list("name")).alias("names"))
+
+
+def asset_spellings(ops: DataFrame, variables: DataFrame) -> DataFrame:
+    """(file, names): assets as the operations, then the variables, spell them; undotted names and placeholders are no evidence."""
+    named = ops.select("file", F.lit(0).alias("part"), F.col("op_no").alias("no"), F.posexplode(F.concat("source_assets", "target_assets")).alias("nth", "name"))
+    given = variables.select("file", F.lit(1).alias("part"), F.col("ord").alias("no"), F.lit(0).alias("nth"), F.col("value").alias("name"))
+    rows = named.unionByName(given).select("file", F.struct("part", "no").alias("at"), "nth", F.regexp_replace(F.trim("name"), "^[\"']+|[\"']+$", "").alias("name"))
+    return _first_spellings(rows.where("name NOT RLIKE '[{}]' AND (contains(name, '.') OR startswith(name, '#'))"))
+
+
+def column_spellings(ops: DataFrame) -> DataFrame:
+    """(file, names): columns as inserts select and updates name them; expressions and words of SQL are no evidence."""
+    inserted = F.when(F.col("statement_kind") == "insert", F.transform("select_items", lambda i: F.element_at(F.split(i["alias"], r"\."), -1)))
+    updated = F.when(F.col("statement_kind") == "update", T.written_columns(F.col("sql_text")))
+    rows = ops.select("file", F.col("op_no").alias("at"), F.posexplode(F.coalesce(inserted, updated)).alias("nth", "name"))
+    words = sorted(scan.KEYWORDS | {"insert", "into", "update", "set", "merge", "join", "left", "right", "inner", "outer", "full", "union", "all"})
+    return _first_spellings(rows.where(F.col("name").rlike(r"^[A-Za-z_]\w*$") & ~F.lower("name").isin(words)))
+
+
+def spelled(statements: DataFrame, spellings: DataFrame) -> DataFrame:
+    """Statements with each of their file's names in its spelling."""
+    none = F.array().cast("array<string>")
+    return statements.join(spellings, "file", "left").select("file", "pos", T.enforce_case(F.col("stmt"), F.coalesce("names", none)).alias("stmt"))
+
+
+def updates_as_inserts(statements: DataFrame, known: DataFrame) -> DataFrame:
+    """Each UPDATE that reads other tables as the INSERT .. SELECT of the columns it touches."""
+    by_target = known.select("file", T.match_key(F.col("target")).alias("__t"), F.col("columns").alias("__known"))
+    met = statements.withColumn("__t", T.match_key(T.write_target(F.col("stmt")))).join(by_target, ["file", "__t"], "left")
+    return met.select("file", "pos", T.update_to_insert(F.col("stmt"), F.col("__known")).alias("stmt"))
+
+
+def valid_writes(statements: DataFrame) -> DataFrame:
+    """Writes that scan as whole; of a file without any, the writes not cut off after a comma, and of one without these all."""
+    stmt = F.col("stmt")
+    write = T.strict_kind(stmt).isNotNull()
+    grade = F.when(write & scan.well_formed_udf(stmt), 2).when(write & T.looks_complete(stmt), 1).otherwise(0)
+    graded = statements.withColumn("__grade", grade)
+    best = graded.groupBy("file").agg(F.max("__grade").alias("__grade"))
+    return graded.join(best, ["file", "__grade"], "left_semi").select("file", "pos", "stmt")

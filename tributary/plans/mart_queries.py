@@ -202,6 +202,32 @@ def unused_left_join(spark, sf_dir):
     big = table(spark, sf_dir, "lineitem").where("l_quantity > 45").select("l_orderkey")
     return table(spark, sf_dir, "orders").join(big, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", "o_totalprice")
 
+
+@query("inner_two_keys_residual", """SELECT l.l_orderkey, l.l_linenumber, o.o_orderstatus FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey AND l.l_linestatus = o.o_orderstatus
+ AND coalesce(trim(l.l_returnflag), 'N') <> 'R' AND o.o_totalprice > l.l_extendedprice""")
+def inner_two_keys_residual(spark, sf_dir):
+    """An inner join on two keys, one condition on one side, and one over both sides."""
+    lines, orders = table(spark, sf_dir, "lineitem").alias("l"), table(spark, sf_dir, "orders").alias("o")
+    keys = (F.col("l.l_orderkey") == F.col("o.o_orderkey")) & (F.col("l.l_linestatus") == F.col("o.o_orderstatus"))
+    rest = (F.coalesce(F.trim("l.l_returnflag"), F.lit("N")) != "R") & (F.col("o.o_totalprice") > F.col("l.l_extendedprice"))
+    return lines.join(orders, keys & rest).select("l_orderkey", "l_linenumber", "o_orderstatus")
+
+
+@query("left_two_key_latest", """WITH d AS (SELECT l_orderkey, l_linestatus, max(l_linenumber) AS last_line FROM lineitem GROUP BY ALL)
+ SELECT o_orderkey, o_orderstatus, CAST(last_line AS VARCHAR) AS last_line FROM orders LEFT JOIN d ON o_orderkey = l_orderkey AND o_orderstatus = l_linestatus""")
+def left_two_key_latest(spark, sf_dir):
+    """A left join on two keys to one row of each of them; the maximum deduplicates on the map side."""
+    latest = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linestatus").agg(F.max("l_linenumber").alias("last_line"))
+    keys = (F.col("o_orderkey") == F.col("l_orderkey")) & (F.col("o_orderstatus") == F.col("l_linestatus"))
+    return table(spark, sf_dir, "orders").join(latest, keys, "left").select("o_orderkey", "o_orderstatus", F.col("last_line").cast("string").alias("last_line"))
+
+
+@query("temp_view_sql", "SELECT o_orderstatus, count(*) AS orders FROM orders WHERE o_totalprice > 1000 GROUP BY o_orderstatus")
+def temp_view_sql(spark, sf_dir):
+    """A temporary view that SQL text reads."""
+    table(spark, sf_dir, "orders").where("o_totalprice > 1000").createOrReplaceTempView("tributary_large_orders")
+    return spark.sql("SELECT o_orderstatus, count(*) AS orders FROM tributary_large_orders GROUP BY o_orderstatus")
+
 # Dates and decimals leave the registered queries as text, which every client prints alike; the operators keep their types.
 _AS_TEXT = {
     "mart_master": ("order_date", "ship_date"),

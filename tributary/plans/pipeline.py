@@ -73,7 +73,8 @@ def run(scripts: DataFrame, config: Config = Config(), generate: Callable[[DataF
     own = S.known_insert_columns(ops)
     known = own.join(spread.select("file", "target"), ["file", "target"], "left_anti").unionByName(spread)
     whole = S.augmented(base, contract)
-    placed = S.reordered(whole, contract).select("file", F.col("new_pos").alias("pos"), "stmt").persist()
+    placed = S.reordered(whole, contract).select("file", F.col("new_pos").alias("pos"), "stmt")
+    placed = S.spelled(S.spelled(placed, S.asset_spellings(ops, variables)), S.column_spellings(ops)).persist()
     done = comply(placed, contract, known, temps, values, config.profile).persist()
     bad = validate.violations(done, ops, contract, S.allowed_assets(ops, variables, temps), config.explicit_columns)
     return Result(ops, resolve.units_with_ops(units, ops), contract, done, bad, validate.verdicts(done, bad), parity.edges(done), extract.rejects(found))

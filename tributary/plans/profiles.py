@@ -34,26 +34,27 @@ def comply(
     """Statements rewritten as the profile asks.
 
     baseline_sql_parity only fills variables in and drops self copies; the others
-    repair, deduplicate and project; strict also removes WHERE from inserts,
+    repair, project, deduplicate and turn updates into inserts; strict also removes WHERE from inserts,
     baseline_parity adds and collapses partition and temporary-target twins,
-    visual_parity strips PARTITION clauses.
+    visual_parity strips PARTITION clauses. All drop writes that do not scan as whole.
     """
     profile = profile_of(profile)
     none = F.array().cast("array<struct<name:string,value:string>>")
     filled = statements.join(variables, "file", "left").select("file", "pos", T.substitute(F.col("stmt"), F.coalesce("vars", none)).alias("stmt"))
     clean = S.without_noops(filled)
     if profile == "baseline_sql_parity":
-        return rewrite(clean)
-    kept = clean.where(T.is_strict_write(F.col("stmt")) & T.looks_complete(F.col("stmt")))
+        return S.valid_writes(rewrite(clean))
+    kept = clean.where(T.is_strict_write(F.col("stmt")))
     fixed = rewrite(kept, T.strip_comments, T.tidy_partition, T.space_partition_by, T.close_subquery, T.collapse_join_wrapper, T.cut_where_on_temp)
     views = temps.groupBy("file").agg(F.collect_set("asset").alias("temps"))
     named = fixed.join(views, "file", "left").select("file", "pos", T.canonical_temps(F.col("stmt"), F.coalesce("temps", F.array().cast("array<string>"))).alias("stmt"))
     # the twins below read this several times
-    unique = S.dedupe_first(S.dedupe_best(S.with_known_columns(named, known))).persist()
+    whole = S.updates_as_inserts(S.with_known_columns(named, known), known)
+    unique = S.dedupe_first(S.dedupe_best(whole)).persist()
     if profile == "strict":
         unique = unique.withColumn("stmt", scan.strip_where_udf("stmt"))
     if profile == "baseline_parity":
         unique = S.collapse_partitions(S.transitive_targets(S.partition_twins(unique), contract))
     if profile == "visual_parity":
         unique = rewrite(unique, T.strip_partition)
-    return unique.withColumn("stmt", scan.uniquify_aliases_udf("stmt"))
+    return S.valid_writes(unique.withColumn("stmt", scan.uniquify_aliases_udf("stmt")))

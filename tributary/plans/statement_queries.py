@@ -482,28 +482,39 @@ def function_scope(spark, sf_dir):
     return resolve.function_scopes(ops, calls).select("file", "op_no", "function_scope")
 
 
-@query("where_strip")
+#: The eight kinds of statements, written out after the rewrite in question.
+_KIND = "CAST(c_custkey % 8 AS INT)"
+_TWIN = "mart.r' || CAST(CAST(floor(c_custkey / 8) AS BIGINT) % 5 AS VARCHAR) || '"
+_FROM_N = "src.n' || CAST(c_nationkey AS VARCHAR) || '"
+
+
+@query("where_strip", f"""SELECT {corpus.POS} AS pos, CASE {_KIND} WHEN 1 THEN 'INSERT INTO {_TWIN} SELECT a, b AS bb FROM {_FROM_N} GROUP BY a;'
+ WHEN 7 THEN 'INSERT INTO {_TWIN} PARTITION (d) SELECT a FROM hive_metastore.db.table;' ELSE {corpus.STMT} END AS stmt FROM customer""")
 def where_strip(spark, sf_dir):
-    """No SQL twin: finding a clause's end takes a scanner that knows quotes and parentheses."""
+    """The one insert with a WHERE loses it, the comment goes, updates keep theirs."""
     return _base(spark, sf_dir).select("pos", scan.strip_where_udf("stmt").alias("stmt"))
 
 
-@query("alias_uniquify")
+@query("where_found", f"SELECT {corpus.POS} AS pos, {_KIND} IN (1, 3) AS has_where FROM customer")
+def where_found(spark, sf_dir):
+    return _base(spark, sf_dir).select("pos", scan.has_where_udf("stmt").alias("has_where"))
+
+
+@query("alias_uniquify", f"SELECT {corpus.POS} AS pos, 'SELECT c_1.* FROM (x) AS c_1 JOIN (y) AS c_2 ON 1=1 JOIN (z' || CAST(c_custkey AS VARCHAR) || ') AS c;' AS stmt FROM customer")
 def alias_uniquify(spark, sf_dir):
-    """No SQL twin: renaming depends on how many of the same alias are still to come."""
     s = F.concat(F.lit("SELECT c.* FROM (x) AS c JOIN (y) AS c ON 1=1 JOIN (z"), "pos", F.lit(") AS c;"))
     return _base(spark, sf_dir).select("pos", scan.uniquify_aliases_udf(s).alias("stmt"))
 
 
-@query("select_items")
+@query("select_items", f"""WITH items AS (SELECT * FROM (VALUES (0, '*', '*'), (1, 'a', 'a'), (1, 'b', 'bb'), (2, 'a', 'a'), (3, 'k', 'k'), (5, '*', '*'), (6, '*', '*'), (7, 'a', 'a')) t(kind, expression, alias))
+ SELECT {corpus.POS} AS pos, expression, alias FROM customer JOIN items ON kind = {_KIND}""")
 def select_items(spark, sf_dir):
-    """No SQL twin: items split at top-level commas only."""
     return _base(spark, sf_dir).select("pos", F.explode(scan.projections_udf("stmt")).alias("i")).select("pos", "i.expression", "i.alias")
 
 
-@query("lineage_edges")
+@query("lineage_edges", f"""WITH e AS (SELECT * FROM (VALUES (0, '*', '<derived>'), (1, 'a', 'a'), (1, 'bb', 'b'), (2, 'a', 'a'), (3, 'a', '<derived>'), (5, '*', '<derived>'), (6, '*', '<derived>'), (7, 'a', 'a')) t(kind, target_col, source_col))
+ SELECT DISTINCT {corpus.FILE} AS file, CASE kind WHEN 2 THEN replace('{_TWIN}', 'mart.', '#tmp_') ELSE '{_TWIN}' END AS target, target_col, source_col FROM customer JOIN e ON kind = {_KIND}""")
 def lineage_edges(spark, sf_dir):
-    """No SQL twin: column references of select lists and assignments."""
     return parity.edges(_base(spark, sf_dir))
 
 
@@ -517,8 +528,26 @@ def _profiled(name: str):
     return run
 
 
-# No SQL twins: the chains end in the scanner's rewrites.
+# The other profiles have no SQL twin: their deduplication picks one of several spellings by a score of the text.
 QUERIES |= {f"profile_{name}": _profiled(name) for name in PROFILES}
+ORACLE_SQL["profile_baseline_sql_parity"] = f"""SELECT {corpus.FILE} AS file, {corpus.POS} AS pos,
+ CASE {_KIND} WHEN 1 THEN replace({corpus.STMT}, chr(123) || 'DT' || chr(125), '2024-01-31') WHEN 7 THEN {corpus.STMT} || ';' ELSE {corpus.STMT} END AS stmt
+ FROM customer WHERE {_KIND} <> 6"""
+
+
+@query("update_lineage_all", f"""SELECT {corpus.FILE} AS file, {corpus.POS} AS pos, CASE {_KIND} WHEN 3 THEN 'INSERT INTO {_TWIN}' || chr(10) || 'SELECT tgt.k, tgt.a' || chr(10) || 'FROM {_TWIN} AS tgt' || chr(10)
+ || 'JOIN {_FROM_N} AS src1 ON 1=1;' WHEN 7 THEN {corpus.STMT} || ';' ELSE {corpus.STMT} END AS stmt FROM customer""")
+def update_lineage_all(spark, sf_dir):
+    """Updates as inserts, with what the operations know of the targets' columns."""
+    return S.updates_as_inserts(_base(spark, sf_dir), S.known_insert_columns(corpus.operations(spark, sf_dir)))
+
+
+@query("valid_writes", f"""WITH s AS (SELECT {corpus.FILE} AS file, {corpus.POS} AS pos, {corpus.STMT} AS stmt, {_KIND} AS kind FROM customer)
+ SELECT file, pos, replace(stmt, ' FROM ', CASE WHEN kind = 1 THEN ', FROM ' ELSE ' FROM ' END) AS stmt FROM s WHERE kind <> 1""")
+def valid_writes(spark, sf_dir):
+    """Inserts with a comma before FROM go; every file has whole writes, so none falls back."""
+    spoiled = F.when(F.col("stmt").contains("AS bb"), F.replace("stmt", F.lit(" FROM "), F.lit(", FROM "))).otherwise(F.col("stmt"))
+    return S.valid_writes(_base(spark, sf_dir).withColumn("stmt", spoiled))
 
 
 @query("balanced_parentheses", f"""{_WITH} SELECT pos, len(regexp_extract_all(stmt, '\\(')) = len(regexp_extract_all(stmt, '\\)')) AS balanced FROM statements""")
