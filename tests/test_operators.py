@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tributary.errors import LimitExceeded
 from tributary.operators import extract, marts, parity, quality, resolve, scd
 from tributary.operators import statements as S
 from tributary.plans import pipeline
@@ -121,3 +122,41 @@ def test_partitioned_write_and_files(spark, tmp_path):
     query = stream.write(stream.classify(stream.read_statements(spark, str(tmp_path / "in"))), str(tmp_path / "out"), str(tmp_path / "cp"))
     query.awaitTermination(60)
     assert {r.kind for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"insert", "update"}
+
+
+def test_spellings_and_update_conversion(spark, stmts):
+    ops = spark.createDataFrame(
+        [("f", 1, "insert", "", ["Src.A"], ["Mart.B"], [("x.CustId", "CustId"), ("count(*)", "count(*)")]),
+         ("f", 2, "update", "UPDATE Mart.B SET Flag = 1 WHERE KeyCol IN (SELECT k FROM src.a)", ["src.a", "{V}", "plain"], ["#Tmp"], [])],
+        "file string, op_no int, statement_kind string, sql_text string, source_assets array<string>, target_assets array<string>, select_items array<struct<expression:string,alias:string>>",
+    )
+    variables = spark.createDataFrame([("f", 0, "t", "Lake.C"), ("f", 1, "n", None)], "file string, ord int, name string, value string")
+    assets, columns = S.asset_spellings(ops, variables), S.column_spellings(ops)
+    assert {tuple(r.names) for r in assets.collect()} == {("#Tmp", "Lake.C", "Mart.B", "Src.A")}
+    assert {tuple(r.names) for r in columns.collect()} == {("CustId", "Flag", "KeyCol")}
+    got = stmts("INSERT INTO mart.b SELECT custid FROM src.a JOIN LAKE.C;", None)
+    cased = S.spelled(S.spelled(got, assets), columns)
+    assert {r.stmt for r in cased.collect()} == {"INSERT INTO Mart.B SELECT CustId FROM Src.A JOIN Lake.C;", None}
+    known = spark.createDataFrame([], "file string, target string, columns array<string>")
+    made = listed(S.updates_as_inserts(stmts("UPDATE t SET a = 1 WHERE k IN (SELECT k FROM s);", "UPDATE t SET a = 1;"), known))
+    assert made == ["INSERT INTO t\nSELECT tgt.k, tgt.a\nFROM t AS tgt\nJOIN s AS src1 ON 1=1;", "UPDATE t SET a = 1;"]
+
+
+def test_valid_writes_fall_back_by_file(spark):
+    rows = [("a", 0, "INSERT INTO t SELECT a, FROM s;"), ("a", 1, "INSERT INTO t SELECT a FROM s;"), ("b", 0, "INSERT INTO t SELECT (a FROM s;"), ("b", 1, "INSERT INTO t SELECT a, ;"), ("c", 0, "SELECT 1;")]
+    kept = S.valid_writes(spark.createDataFrame(rows, "file string, pos int, stmt string"))
+    assert {(r.file, r.pos) for r in kept.collect()} == {("a", 1), ("b", 0), ("c", 0)}
+
+
+def test_insert_by_position_and_limits(spark):
+    spark.sql("CREATE TABLE positional (a BIGINT, b STRING) USING parquet")
+    try:
+        marts.insert_positional(spark.range(2).select("id", F.lit("x").alias("other")), "positional")
+        assert sorted(map(tuple, spark.table("positional").collect())) == [(0, "x"), (1, "x")]
+        with pytest.raises(ValueError):
+            marts.insert_positional(spark.range(1), "positional")
+    finally:
+        spark.sql("DROP TABLE positional")
+    with pytest.raises(LimitExceeded):
+        pipeline.parse_batch(spark, {"a": "x = 1"}, pipeline.Config.of_environment({"TRIBUTARY_MAX_FILES": "0", "HOME": "/"}))
+

@@ -8,8 +8,10 @@ from __future__ import annotations
 import argparse
 import json
 import logging
+import os
 import sys
 import time
+from dataclasses import replace
 
 from tributary.operators import parity
 from tributary.operators import statements as S
@@ -19,36 +21,27 @@ from tributary.session import local_session
 from tributary.sources import files
 
 
-class JsonFormatter(logging.Formatter):
-    """One JSON object a record."""
-
-    def format(self, record: logging.LogRecord) -> str:
-        return json.dumps({"time": self.formatTime(record), "level": record.levelname, "logger": record.name, "message": record.getMessage()})
-
-
-def logger(name: str = "tributary") -> logging.Logger:
-    log = logging.getLogger(name)
-    if not log.handlers:
-        handler = logging.StreamHandler(sys.stderr)
-        handler.setFormatter(JsonFormatter())
-        log.addHandler(handler)
-        log.setLevel(logging.INFO)
-    return log
+def report(event: str, **fields: object) -> None:
+    """One JSON object a line to the log."""
+    logging.getLogger("tributary").info(json.dumps({"event": event, **fields}))
 
 
 def main(argv: list[str] | None = None) -> int:
-    """0 if every file is valid, 2 otherwise."""
+    """0 if every file is valid, 2 otherwise; settings come from TRIBUTARY_* variables, the profile from either."""
     args = argparse.ArgumentParser(description=__doc__)
     args.add_argument("input")
     args.add_argument("output")
-    args.add_argument("--profile", choices=PROFILES, default="strict")
+    args.add_argument("--profile", choices=PROFILES)
     args.add_argument("--baseline")
     args.add_argument("--dry-run", action="store_true")
     got = args.parse_args(argv)
-    log, began = logger(), time.time()
+    logging.basicConfig(stream=sys.stderr, level=logging.INFO, format="%(asctime)s %(levelname)s %(name)s %(message)s")
+    config, began = Config.of_environment(os.environ), time.time()
+    if got.profile:
+        config = replace(config, profile=got.profile)
     spark = local_session()
     scripts, large = files.read_scripts(spark, got.input)
-    result = run(scripts, Config(profile=got.profile))
+    result = run(scripts, config)
     files.write_scripts(S.scripts_of(result.statements), f"{got.output}/sql", got.dry_run)
     if not got.dry_run:
         files.write_reports(result.verdicts, f"{got.output}/reports")
@@ -58,7 +51,7 @@ def main(argv: list[str] | None = None) -> int:
             baseline = S.statements_of(files.read_baselines(spark, got.baseline))
             files.write_reports(parity.compare(baseline, result.statements), f"{got.output}/parity")
     failed = result.verdicts.where("NOT ok").count()
-    log.info("%d files invalid, %.1f s", failed, time.time() - began)
+    report("done", invalid=failed, seconds=round(time.time() - began, 1))
     return 2 if failed else 0
 
 

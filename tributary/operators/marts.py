@@ -65,11 +65,20 @@ def padded_union(frames: list[DataFrame], schema: Mapping[str, str]) -> DataFram
 
 
 def write_partitioned(df: DataFrame, path: str, by: list[str], mode: str = "append", files: int | None = None) -> None:
-    """A dynamic-partition write. Rows of a partition meet in one task each, or are spread over `files` tasks first."""
-    shaped = df.repartition(files, *by) if files else df.repartition(*by)
+    """A dynamic-partition write. Rows of a partition meet in one task, or are dealt by content over `files` of them, which splits a hot one."""
+    spread = F.pmod(F.xxhash64(*df.columns), F.lit(files)) if files else None
+    shaped = df.repartition(*by) if spread is None else df.repartition(*by, spread)
     shaped.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
 def drop_old(df: DataFrame, day: Column, today: Column, keep_days: int) -> DataFrame:
     """Rows of the last keep_days days; 0 keeps everything."""
     return df if keep_days == 0 else df.where(day > F.date_sub(today, keep_days))
+
+
+def insert_positional(df: DataFrame, name: str, overwrite: bool = False) -> None:
+    """INSERT INTO an existing table by position, whatever the columns are called; an overwrite replaces only the partitions it has rows of."""
+    width = len(df.sparkSession.table(name).columns)
+    if len(df.columns) != width:
+        raise ValueError(f"{name} has {width} columns, not {len(df.columns)}")
+    df.write.option("partitionOverwriteMode", "dynamic").insertInto(name, overwrite=overwrite)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tributary.errors import LimitExceeded
 from tributary.functions import text as T
 from tributary.operators import extract, parity, resolve, validate
 from tributary.operators import statements as S
@@ -32,6 +33,11 @@ class Config:
         given = {k: kinds[k](v) for k, v in settings.items() if k in kinds}
         return cls(profile=profile_of(settings.get("profile")), **given)
 
+    @classmethod
+    def of_environment(cls, environment: Mapping[str, str], prefix: str = "TRIBUTARY_") -> Config:
+        """From variables such as TRIBUTARY_PROFILE; others are ignored."""
+        return cls.of({k[len(prefix) :].lower(): v for k, v in environment.items() if k.startswith(prefix)})
+
 
 @dataclass(frozen=True)
 class Result:
@@ -104,10 +110,10 @@ def parse(spark: SparkSession, code: str, name: str = "script", config: Config =
 def parse_batch(spark: SparkSession, codes: dict[str, str], config: Config = Config()) -> dict[str, dict]:
     """Several scripts at once; a bounded interactive call (max_files scripts of max_bytes), so its answer is collected."""
     if len(codes) > config.max_files:
-        raise ValueError(f"more than {config.max_files} files")
+        raise LimitExceeded(f"more than {config.max_files} files")
     large = [n for n, c in codes.items() if len(c.encode("utf-8")) > config.max_bytes]
     if large:
-        raise ValueError(f"larger than {config.max_bytes} bytes: {', '.join(large)}")
+        raise LimitExceeded(f"larger than {config.max_bytes} bytes: {', '.join(large)}")
     result = run(spark.createDataFrame(list(codes.items()), "file string, code string"), config)
     out: dict[str, dict] = {n: {"statements": [], "violations": [], "ok": True} for n in codes}
     for r in result.statements.orderBy("file", "pos").collect():
