@@ -246,6 +246,52 @@ def test_nearest_is_exact():
         assert found.tolist() == wanted and np.allclose(sims, scores[wanted])
 
 
+def test_nearest_of_many_is_exact_at_any_batch(monkeypatch):
+    rng = np.random.default_rng(7)
+    share = 1 / (1 + np.arange(400))
+    pairs = []
+    for _ in range(500):
+        t = np.sort(rng.choice(400, int(rng.integers(1, 60)), replace=False, p=share / share.sum()))
+        v = rng.random(len(t)) + 0.01
+        pairs.append((t, v / np.sqrt(v @ v)))
+    pairs[7] = pairs[3]
+    asked = [*pairs[:200], (np.zeros(0, dtype=np.int64), np.zeros(0)), pairs[3]]
+    index = toxicity.ExampleIndex.of(pairs, np.zeros(500), np.ones(500), np.arange(500), 400)
+    row = index.dense[0]
+    assert (row >= 0).any() and (row < 0).any()
+    full = np.zeros((500, 400))
+    for i, (t, v) in enumerate(pairs):
+        full[i, t] = v
+    ends = np.cumsum([0, *(len(t) for t, _ in asked)])
+    terms, values = np.concatenate([t for t, _ in asked]), np.concatenate([v for _, v in asked])
+    skip = np.array([*range(100), *[-1] * 102])
+    for queries, first in ((1, 8), (96, 8), (96, 1)):
+        monkeypatch.setattr(toxicity, "QUERIES", queries)
+        monkeypatch.setattr(toxicity, "FIRST", first)
+        got = index.nearest_each(ends, terms, values, 9, skip)
+        for i, (t, v) in enumerate(asked):
+            scores = np.round(full[:, t] @ v, 12)
+            if skip[i] >= 0:
+                scores[skip[i]] = 0
+            wanted = [j for j in np.lexsort((np.arange(500), -scores)) if scores[j] > 0][:9]
+            assert got[i][0].tolist() == wanted and np.allclose(got[i][1], scores[wanted])
+
+
+def test_term_counts_match_a_dictionary():
+    texts = ["", "Dolt doltish, DOLTS dolt x", "é\tdolt", " ", "nothing here"]
+    vocabulary = [b"dolt", b"^dolt", b"^dolti", b"x", "é".encode()]
+    counter = toxicity.TermCounter(vocabulary)
+    for _ in range(2):
+        offsets, terms, counts = counter.count(texts)
+        for i, text in enumerate(texts):
+            mine = collections.Counter(vocabulary.index(t) for w in toxicity.words_of(text) for t in toxicity.terms_of(w) if t in vocabulary)
+            at = slice(offsets[i], offsets[i + 1])
+            assert dict(zip(terms[at].tolist(), counts[at].tolist(), strict=True)) == mine
+            assert counter.has_any(text) == bool(mine)
+    assert counter.count([])[0].tolist() == [0]
+    assert toxicity.TermCounter([]).count(texts)[0].tolist() == [0] * 6
+
+
 def brute_tree(texts, depth):
     """The definition, with counts in dictionaries: {(context, bits): [zeros, ones]}."""
     counts = collections.defaultdict(lambda: [0, 0])

@@ -17,9 +17,11 @@ among such training texts.
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +37,16 @@ MAX_EXAMPLES = 2048
 #: A term must be in so many toxic training texts, whatever the size of the table.
 MIN_TEXTS = 2
 STEMS = (4, 5, 6)
+#: A term that more than this share of the examples has is stored with a place for every example.
+DENSE = 1 / 16
+#: Vectors and terms searched at a time, words and texts a task remembers: none changes a result.
+QUERIES = 96
+QUERY_TERMS = 48_000
+FIRST = 8
+MAX_WORDS = 400_000
+MAX_SEEN = 20_000
 MAX_BROADCAST_ROWS = 1_000_000
-PART_CHARS = 2_000_000
+PART_CHARS = 1_000_000
 _SPACED = bytes(32 if b < 128 and not chr(b).isalnum() else b for b in range(256))
 
 
@@ -50,30 +60,73 @@ def terms_of(word: bytes) -> list[bytes]:
     return [word, *(b"^" + word[:n] for n in STEMS if len(word) > n)]
 
 
+class _Rows(dict):
+    """Numbers words as they come; keeps the vocabulary's terms of each as one ragged array."""
+
+    def __init__(self, ids: dict[bytes, int]) -> None:
+        self.ids, self.flat, self.ends = ids, array("i"), array("q", [0])
+
+    def __missing__(self, word: bytes) -> int:
+        at = self[word] = len(self)
+        ids, flat = self.ids, self.flat
+        if (i := ids.get(word)) is not None:
+            flat.append(i)
+        stem = b"^" + word
+        for n in STEMS:
+            if len(word) <= n:
+                break
+            if (i := ids.get(stem[: n + 1])) is not None:
+                flat.append(i)
+        self.ends.append(len(flat))
+        return at
+
+
+def _ragged(starts: np.ndarray, runs: np.ndarray) -> np.ndarray:
+    """Positions start, start + 1, .. of each run, one run after the other."""
+    ends = np.cumsum(runs)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + runs, runs)
+
+
 class TermCounter:
     """Counts vocabulary terms in texts; remembers the terms of each word."""
 
     def __init__(self, vocabulary: list[bytes]) -> None:
         self.ids = {t: i for i, t in enumerate(vocabulary)}
-        self.known: dict[bytes, tuple[int, ...]] = {}
+        self.known = _Rows(self.ids)
+
+    def has_any(self, text: str) -> bool:
+        """Whether a text has a term of the vocabulary."""
+        return any(t in self.ids for w in set(words_of(text)) for t in terms_of(w))
 
-    def count(self, text: str) -> dict[int, int]:
+    def count(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(offsets, terms, counts): text i holds terms[offsets[i]:offsets[i + 1]], ascending."""
+        if len(self.known) > MAX_WORDS:
+            self.known = _Rows(self.ids)
         known = self.known
-        if len(known) > 500_000:
-            known.clear()
-        out: dict[int, int] = {}
-        for word in words_of(text):
-            got = known.get(word)
-            if got is None:
-                got = known[word] = tuple(i for t in terms_of(word) if (i := self.ids.get(t)) is not None)
-            for i in got:
-                out[i] = out.get(i, 0) + 1
-        return out
+        rows, sizes = [], []
+        for text in texts:
+            rows.extend(map(known.__getitem__, words_of(text)))
+            sizes.append(len(rows))
+        row = np.array(rows, dtype=np.int64)
+        ends = np.array(known.ends, dtype=np.int64)
+        runs = ends[row + 1] - ends[row]
+        owner = np.repeat(np.arange(len(texts)), np.diff(np.array([0, *sizes])))
+        n = max(1, len(self.ids))
+        keys = np.repeat(owner * n, runs) + np.array(known.flat, dtype=np.int64)[_ragged(ends[row], runs)]
+        keys.sort()
+        first = np.flatnonzero(np.diff(keys, prepend=-1))
+        counts = np.diff(first, append=len(keys))
+        return np.searchsorted(keys[first], np.arange(len(texts) + 1) * n), keys[first] % n, counts
 
 
 @dataclass
 class ExampleIndex:
-    """Block-max inverted index over unit vectors of labelled examples."""
+    """Block-max inverted index over unit vectors of labelled examples.
+
+    A term that a DENSE share of the examples has stores its postings as a row with
+    a place for every example and knows its largest weight in each block; the
+    postings of other terms are lists.
+    """
 
     labels: np.ndarray
     weights: np.ndarray
@@ -81,55 +134,95 @@ class ExampleIndex:
     offsets: np.ndarray
     at: np.ndarray
     value: np.ndarray
-    peaks: np.ndarray
 
     @classmethod
     def of(cls, vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, weights: np.ndarray, ids: np.ndarray, n_terms: int) -> ExampleIndex:
         terms = np.concatenate([t for t, _ in vectors]) if vectors else np.zeros(0, dtype=np.int64)
         value = np.concatenate([v for _, v in vectors]) if vectors else np.zeros(0)
-        at = np.repeat(np.arange(len(vectors)), [len(t) for t, _ in vectors])
-        blocks = max(1, -(-len(vectors) // BLOCK))
+        at = np.repeat(np.arange(len(vectors), dtype=np.int32), [len(t) for t, _ in vectors])
         order = np.lexsort((at, terms))
-        terms, value, at = terms[order], value[order], at[order]
-        cell = terms * blocks + at // BLOCK
-        offsets = np.searchsorted(cell, np.arange(n_terms * blocks + 1)).reshape(-1)
-        peaks = np.zeros(n_terms * blocks)
-        np.maximum.at(peaks, cell, value)
-        return cls(labels, weights, ids, offsets, at, value, peaks.reshape(n_terms, blocks))
+        return cls(labels, weights, ids, np.searchsorted(terms[order], np.arange(n_terms + 1)), at[order], value[order])
+
+    @cached_property
+    def dense(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row of each term or -1, weights by block, row and place, peaks by row and block); made where it is used, never sent."""
+        n = len(self.labels)
+        runs = np.diff(self.offsets)
+        common = np.flatnonzero(runs > DENSE * n)
+        row = np.full(len(runs), -1)
+        row[common] = np.arange(len(common))
+        weights = np.zeros((-(-n // BLOCK), len(common), BLOCK))
+        here = _ragged(self.offsets[common], runs[common])
+        block, place = np.divmod(self.at[here], BLOCK)
+        weights[block, np.repeat(row[common], runs[common]), place] = self.value[here]
+        return row, weights, np.ascontiguousarray(weights.max(axis=2).T)
 
     def nearest(self, terms: np.ndarray, values: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Examples and cosines of the k nearest, nearest first, ties to earlier examples; only positive cosines."""
-        blocks = self.peaks.shape[1]
-        bounds = values @ self.peaks[terms]
-        found, sims = np.zeros(0, dtype=np.int64), np.zeros(0)
-        order = np.argsort(-bounds, kind="stable")
-        begin, step = 0, 2
-        while begin < blocks:
-            some = order[begin : begin + step]
-            some = some[bounds[some] > 0]
-            if len(sims) == k:
-                some = some[bounds[some] >= sims[-1] - 1e-12]
-            if not len(some):
-                break
-            cells = (terms[:, None] * blocks + some[None, :]).ravel()
-            lo = self.offsets[cells]
-            runs = self.offsets[cells + 1] - lo
-            ends = np.cumsum(runs)
-            at = np.arange(ends[-1]) + np.repeat(lo - ends + runs, runs)
-            scores = np.bincount(self.at[at], weights=np.repeat(np.repeat(values, len(some)), runs) * self.value[at], minlength=len(self.labels))
-            here = np.flatnonzero(scores > 0)
-            here = here[here != skip]
-            found = np.concatenate([found, here])
-            sims = np.concatenate([sims, scores[here]])
-            best = np.lexsort((found, -np.round(sims, 12)))[:k]
-            found, sims = found[best], sims[best]
-            begin, step = begin + step, step * 2
-        return found, sims
+        return self.nearest_each(np.array([0, len(terms)]), terms, values, k, np.array([skip]))[0]
+
+    def nearest_each(self, offsets: np.ndarray, terms: np.ndarray, values: np.ndarray, k: int, skip: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The k nearest of every vector; `skip` names an example to leave out for each (-1: none).
+
+        Lists are scored first, in full. Then the blocks of examples are taken in order
+        of their bound (the best score so far in a block and the peaks of the common
+        terms): one in FIRST of them, then those whose bound reaches the k-th cosine.
+        """
+        out, begin, n = [], 0, len(offsets) - 1
+        while begin < n:
+            end = min(n, begin + QUERIES, max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + QUERY_TERMS))))
+            some = offsets[begin : end + 1]
+            part = slice(some[0], some[-1])
+            out += self._nearest(some - some[0], terms[part], values[part], k, None if skip is None else skip[begin:end])
+            begin = end
+        return out
+
+    def _nearest(self, offsets: np.ndarray, terms: np.ndarray, values: np.ndarray, k: int, skip: np.ndarray | None) -> list[tuple[np.ndarray, np.ndarray]]:
+        dense_row, dense, peaks = self.dense
+        n, blocks = len(offsets) - 1, len(dense)
+        width = blocks * BLOCK
+        owner = np.repeat(np.arange(n), np.diff(offsets))
+        row = dense_row[terms]
+        rare = row < 0
+        lo = self.offsets[terms[rare]]
+        runs = self.offsets[terms[rare] + 1] - lo
+        at = _ragged(lo, runs)
+        cell = np.repeat(owner[rare] * width, runs) + self.at[at]
+        scores = np.bincount(cell, weights=np.repeat(values[rare], runs) * self.value[at], minlength=n * width).astype(np.float64, copy=False).reshape(n, width)
+        common = np.zeros((n, dense.shape[1]))
+        common[owner[~rare], row[~rare]] = values[~rare]
+        bounds = scores.reshape(n, blocks, BLOCK).max(axis=2) + common @ peaks
+        first = np.argsort(-bounds, axis=1, kind="stable")[:, : -(-blocks // FIRST)]
+        wanted = np.zeros((n, blocks), dtype=bool)
+        wanted[np.arange(n)[:, None], first] = True
+        self._complete(scores, common, dense, wanted)
+        left_out = None if skip is None else np.flatnonzero(skip >= 0)
+        if left_out is not None:
+            scores[left_out, skip[left_out]] = 0
+        # scores of blocks not yet completed are low, so the k-th of all is a bound from below
+        kth = np.partition(scores, width - k, axis=1)[:, width - k] if width > k else np.zeros(n)
+        self._complete(scores, common, dense, (bounds > 0) & (bounds >= kth[:, None] - 1e-12) & ~wanted)
+        if left_out is not None:
+            scores[left_out, skip[left_out]] = 0
+        out = []
+        for line in scores:
+            floor = np.partition(line, width - k)[width - k] if width > k else 0.0
+            found = np.flatnonzero((line >= floor - 2e-12) & (line > 0))
+            found = found[np.lexsort((found, -np.round(line[found], 12)))[:k]]
+            out.append((found, line[found]))
+        return out
+
+    @staticmethod
+    def _complete(scores: np.ndarray, common: np.ndarray, dense: np.ndarray, wanted: np.ndarray) -> None:
+        """Add the common terms' part in the wanted blocks."""
+        for block in np.flatnonzero(wanted.any(axis=0)):
+            here = np.flatnonzero(wanted[:, block])
+            scores[here, block * BLOCK : (block + 1) * BLOCK] += common[here] @ dense[block]
 
     def vote(self, found: np.ndarray, sims: np.ndarray) -> float:
         """Share of toxic examples among the neighbours, by similarity and by how many texts an example stands for."""
         weight = sims * self.weights[found]
-        return float(weight @ self.labels[found] / weight.sum()) if len(found) else 0.0
+        return round(float(weight @ self.labels[found] / weight.sum()), 12) if len(found) else 0.0
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -160,21 +253,20 @@ class Model:
     knots: tuple[np.ndarray, np.ndarray]
     without_terms: float
 
-    def vector(self, terms: list[int], counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        return unit_vector(terms, counts, self.weight)
+    def scores(self, offsets: np.ndarray, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Scores of counted texts, and the nearest examples of each."""
+        if not len(self.index.labels):
+            return np.full(len(offsets) - 1, self.without_terms), [np.zeros(0, dtype=np.int64)] * (len(offsets) - 1)
+        near = self.index.nearest_each(offsets, terms, unit_vectors(offsets, terms, counts, self.weight), NEIGHBOURS)
+        votes = np.interp([self.index.vote(*n) for n in near], *self.knots)
+        return np.where(np.diff(offsets) > 0, votes, self.without_terms), [found for found, _ in near]
 
-    def score(self, terms: list[int], counts: list[int]) -> tuple[float, np.ndarray]:
-        if not terms or not len(self.index.labels):
-            return self.without_terms, np.zeros(0, dtype=np.int64)
-        found, sims = self.index.nearest(*self.vector(terms, counts), NEIGHBOURS)
-        vote = self.index.vote(found, sims)
-        return float(np.interp(vote, *self.knots)), found
 
-
-def unit_vector(terms: list[int] | np.ndarray, counts: list[int] | np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    t = np.array(terms, dtype=np.int64)
-    v = (1 + np.log(np.array(counts, dtype=np.float64))) * weight[t]
-    return t, v / np.sqrt(v @ v)
+def unit_vectors(offsets: np.ndarray, terms: np.ndarray, counts: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The terms' values in each text's vector of length 1."""
+    values = (1 + np.log(counts)) * weight[terms]
+    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    return values / np.sqrt(np.bincount(owner, weights=values**2, minlength=len(offsets) - 1))[owner]
 
 
 def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, int, list[str]]]:
@@ -211,14 +303,14 @@ def _frequencies(tagged: DataFrame, vocabulary: list[bytes]) -> tuple[np.ndarray
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = TermCounter(shared.value)
-        n = np.zeros((2, len(shared.value) + 1), dtype=np.int64)
+        size = len(shared.value)
+        n = np.zeros((2, size + 1), dtype=np.int64)
         for batch, at, part in _texts(batches, 0):
-            clean = batch.column(1).slice(at, len(part)).to_pylist()
-            for text, is_clean in zip(part, clean, strict=True):
-                terms = [*counter.count(text), len(shared.value)]
-                n[0, terms] += 1
-                if is_clean:
-                    n[1, terms] += 1
+            clean = batch.column(1).slice(at, len(part)).fill_null(False).to_numpy(zero_copy_only=False)
+            offsets, terms, _ = counter.count(part)
+            n[0, :size] += np.bincount(terms, minlength=size)
+            n[1, :size] += np.bincount(terms[np.repeat(clean, np.diff(offsets))], minlength=size)
+            n[:, size] += len(part), clean.sum()
         term = np.flatnonzero(n[0])
         yield pa.RecordBatch.from_arrays([pa.array(term, pa.int64()), pa.array(n[0, term], pa.int64()), pa.array(n[1, term], pa.int64())], names=["term", "n", "clean"])
 
@@ -277,72 +369,83 @@ def score_toxicity(
     vocabulary = [candidates[i] for i in chosen]
     weight = (np.log((1 + total) / (1 + df[chosen])) + 1) * lift[chosen]
     shared_vocabulary = spark.sparkContext.broadcast(vocabulary)
+    kind = docs.schema[id_col].dataType.simpleString()
+    tagged = tagged.withColumn("__tx_tag", F.xxhash64("__tx_text"))
 
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def has_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = TermCounter(shared_vocabulary.value)
-        for batch, at, part in _texts(batches, 3):
-            counted = [counter.count(t) for t in part]
-            cut = batch.slice(at, len(part))
-            columns = [
-                cut.column(0), cut.column(1), cut.column(2), cut.column(4),
-                pa.array([sorted(c) for c in counted], pa.list_(pa.int32())),
-                pa.array([[c[t] for t in sorted(c)] for c in counted], pa.list_(pa.int32())),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "held_out", "label", "tag", "terms", "counts"])
+        for batch in batches:
+            has = [counter.has_any(t.as_py()) for t in batch.column(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(has, pa.bool_())], names=["id", "label", "tag", "has"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    made = materialize(
-        tagged.select("__tx_id", "__tx_held", F.col("__tx_label").cast("int"), "__tx_text", F.xxhash64("__tx_text").alias("tag"))
-        .mapInArrow(vectors, f"id {kind}, held_out boolean, label int, tag long, terms array<int>, counts array<int>"),
-        "toxicity-vectors",
+    known = materialize(
+        tagged.where("__tx_label IS NOT NULL").select("__tx_id", F.col("__tx_label").cast("int"), "__tx_tag", "__tx_text")
+        .mapInArrow(has_terms, f"id {kind}, label int, tag long, has boolean"),
+        "toxicity-labelled",
     )
-    classes = {
-        (r["label"], r["has"]): r["n"]
-        for r in made.where("label IS NOT NULL").groupBy("label", (F.size("terms") > 0).alias("has")).agg(F.count("*").alias("n")).collect()
-    }
+    classes = {(r["label"], r["has"]): r["n"] for r in known.groupBy("label", "has").agg(F.count("*").alias("n")).collect()}
     bare_toxic, bare_clean = classes.get((1, False), 0), classes.get((0, False), 0)
     without = (bare_toxic + 0.5) / (bare_toxic + bare_clean + 1) if toxic else 0.0
+
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = TermCounter(shared_vocabulary.value)
+        for batch, at, part in _texts(batches, 2):
+            offsets, terms, counts = counter.count(part)
+            cut = batch.slice(at, len(part))
+            lists = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(x, pa.int32())) for x in (terms, counts)]
+            yield pa.RecordBatch.from_arrays([*cut.columns[:2], *lists], names=["id", "tag", "terms", "counts"])
+
     taken, pairs, ids = [], [], []
     for label in (0, 1):
-        mine = made.where((F.col("label") == label) & (F.size("terms") > 0))
         # the bound first, so that tasks do not send MAX_EXAMPLES vectors each
-        last = mine.select("tag").orderBy("tag").limit(MAX_EXAMPLES).agg(F.max("tag")).first()[0]
-        rows = mine.where(F.col("tag") <= F.lit(last)).orderBy("tag", "id").limit(MAX_EXAMPLES).select("id", "terms", "counts").toArrow()
-        pairs += [unit_vector(t.values.to_numpy(), c.values.to_numpy(), weight) for t, c in zip(rows.column("terms"), rows.column("counts"), strict=True)]
+        mine = known.where((F.col("label") == label) & F.col("has")).select("tag")
+        last = mine.orderBy("tag").limit(MAX_EXAMPLES).agg(F.max("tag")).first()[0]
+        rows = (
+            tagged.where((F.col("__tx_label") == label) & (F.col("__tx_tag") <= F.lit(last))).select("__tx_id", "__tx_tag", "__tx_text")
+            .mapInArrow(vectors, f"id {kind}, tag long, terms array<int>, counts array<int>")
+            .where(F.size("terms") > 0).orderBy("tag", "id").limit(MAX_EXAMPLES).select("id", "terms", "counts").toArrow()
+        )
+        for t, c in zip(rows.column("terms"), rows.column("counts"), strict=True):
+            mine_terms = t.values.to_numpy().astype(np.int64)
+            pairs.append((mine_terms, unit_vectors(np.array([0, len(mine_terms)]), mine_terms, c.values.to_numpy(), weight)))
         ids += rows.column("id").to_pylist()
         taken.append(len(rows))
     ys = np.repeat([0.0, 1.0], taken)
     ws = np.repeat([classes.get((label, True), 0) / max(1, taken[label]) for label in (0, 1)], taken)
     index = ExampleIndex.of(pairs, ys, ws, np.array(ids, dtype=object), len(vocabulary))
-    votes = np.array([index.vote(*index.nearest(*pair, NEIGHBOURS, skip=i)) for i, pair in enumerate(pairs)])
+    # the calibration of every example against the others
+    ends = np.cumsum([0, *(len(t) for t, _ in pairs)])
+    near = index.nearest_each(ends, np.concatenate([t for t, _ in pairs]), np.concatenate([v for _, v in pairs]), NEIGHBOURS, np.arange(len(pairs))) if pairs else []
+    index.__dict__.pop("dense", None)
+    votes = np.array([index.vote(*n) for n in near])
     knots = isotonic(votes, ys, ws) if pairs else (np.array([0.0, 1.0]), np.array([without, without]))
     model = spark.sparkContext.broadcast(Model(vocabulary, weight, index, knots, without))
-    id_type = made.schema["id"].dataType
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        seen: dict[int, tuple[float, list]] = {}
-        for batch in batches:
-            scores, near = [], []
-            for key, terms, counts in zip(batch.column(4).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                if key not in seen:
-                    if len(seen) > 100_000:
-                        seen.clear()
-                    value, found = m.score(terms.as_py(), counts.as_py())
-                    seen[key] = (value, m.index.ids[found].tolist())
-                scores.append(seen[key][0])
-                near.append(seen[key][1])
+        counter = TermCounter(m.vocabulary)
+        seen: dict[int, tuple[float, int, list]] = {}
+        for batch, at, part in _texts(batches, 2):
+            cut = batch.slice(at, len(part))
+            tags = cut.column(3).to_pylist()
+            if len(seen) > MAX_SEEN:
+                seen.clear()
+            new = {tag: text for tag, text in zip(tags, part, strict=True) if tag not in seen}
+            offsets, terms, counts = counter.count(list(new.values()))
+            values, near = m.scores(offsets, terms, counts)
+            sizes = np.diff(offsets).tolist()
+            seen |= {tag: (v, n, m.index.ids[f].tolist()) for tag, v, n, f in zip(new, values.tolist(), sizes, near, strict=True)}
+            scores, n_terms, evidence = zip(*(seen[t] for t in tags), strict=True)
             columns = [
-                batch.column(0), batch.column(1), pa.array(scores, pa.float64()),
-                pa.array([int(s >= 0.5) for s in scores], pa.int32()),
-                batch.column(2).value_lengths(),
-                pa.array(near, pa.list_(batch.schema.field(0).type)), batch.column(4),
+                cut.column(0), cut.column(1), pa.array(scores, pa.float64()),
+                pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(n_terms, pa.int32()),
+                pa.array(evidence, pa.list_(cut.schema.field(0).type)), cut.column(3),
             ]
             yield pa.RecordBatch.from_arrays(columns, names=[id_col, "held_out", "score", "predicted", "n_terms", "evidence", "text_hash"])
 
-    return made.select("id", "held_out", "terms", "counts", "tag").mapInArrow(
+    return tagged.select("__tx_id", "__tx_held", "__tx_text", "__tx_tag").mapInArrow(
         score,
-        f"`{id_col}` {kind}, held_out boolean, score double, predicted int, n_terms int, evidence array<{id_type.simpleString()}>, text_hash long",
+        f"`{id_col}` {kind}, held_out boolean, score double, predicted int, n_terms int, evidence array<{kind}>, text_hash long",
     )
 
 
