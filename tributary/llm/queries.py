@@ -8,6 +8,7 @@ from tributary.llm.line_dedup import OP10_SQL, op10_line_dedup
 from tributary.llm.lm_scoring import op5_lm_scores
 from tributary.llm.mixing import op1_mix_sources
 from tributary.llm.ogg_media import op9_ogg_media
+from tributary.llm.piece_bpe import op13_piece_round_trip
 from tributary.llm.token_counts import op2_token_counts
 from tributary.llm.token_store import op4_token_files
 from tributary.llm.topk_search import OP6_SQL, op6_top_k
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_bpe_round_trip": op8_bpe_round_trip,
     "op9_ogg_media": op9_ogg_media,
     "op10_line_dedup": op10_line_dedup,
+    "op13_piece_round_trip": op13_piece_round_trip,
 }
 
 ORACLE_SQL: dict[str, str] = {"op6_top_k": OP6_SQL, "op10_line_dedup": OP10_SQL}
