@@ -81,3 +81,16 @@ def parts_by_bytes(texts: Iterable[str | None], limit: int) -> Iterator[list[str
 def crc_bucket(id_col: str, modulus: int) -> F.Column:
     """crc32 of the id as text, modulo `modulus`; a null id gives 0's text, the empty string."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % F.lit(modulus)
+
+
+def join_weighted(many: DataFrame, one: DataFrame, keys: list[str], weight: str, share: int = 1024) -> DataFrame:
+    """Inner join of many with one, unique on keys (no nulls), whose `weight` says how many rows of many have the key.
+
+    Keys that hold 1/share of all rows or more, of which there are at most `share`, are
+    broadcast; only the others are shuffled, so no task gets much more than its part.
+    """
+    total = one.agg(F.sum(weight)).first()[0] or 0
+    hot = F.col(weight) * share >= total
+    frequent = F.broadcast(one.where(hot).drop(weight))
+    rare = many.join(F.broadcast(one.where(hot).select(*keys)), keys, "left_anti")
+    return many.join(frequent, keys).unionByName(rare.join(one.where(~hot).drop(weight), keys))
