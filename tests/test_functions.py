@@ -77,10 +77,3 @@ def test_scanner():
     assert scan.strip_where("UPDATE t SET a = 1 WHERE b = 2") == "UPDATE t SET a = 1 WHERE b = 2;"
     assert scan.uniquify_aliases("SELECT c.* FROM (x) AS c JOIN (y) AS c JOIN (z) AS c") == "SELECT c_1.* FROM (x) AS c_1 JOIN (y) AS c_2 JOIN (z) AS c"
     assert scan.projections("INSERT INTO t SELECT s.a AS a1, s.b + 1 b1 FROM s") == [("s.a", "a1"), ("s.b + 1", "b1")]
-
-
-def test_edges():
-    insert = "INSERT INTO tgt SELECT s.a AS a1, s.b + 1 AS b1, 'k' AS c FROM src s UNION ALL SELECT u.x, u.y, u.z FROM u;"
-    assert scan.lineage_edges(insert) == [("tgt", "a1", "s.a"), ("tgt", "b1", "s.b"), ("tgt", "c", "<derived>"), ("tgt", "a1", "u.x"), ("tgt", "b1", "u.y"), ("tgt", "c", "u.z")]
-    assert scan.lineage_edges("UPDATE m SET a = b + 1, c = 1 WHERE k = 2;") == [("m", "a", "b"), ("m", "c", "<derived>")]
-    assert scan.lineage_edges("SELECT 1") == []

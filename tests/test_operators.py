@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tributary.errors import LimitExceeded
 from tributary.operators import extract, marts, parity, quality, resolve, scd
 from tributary.operators import statements as S
+from tributary.operators import syntax
 from tributary.plans import pipeline
 
 SCRIPT = '''
@@ -144,7 +145,7 @@ def test_spellings_and_update_conversion(spark, stmts):
 
 def test_valid_writes_fall_back_by_file(spark):
     rows = [("a", 0, "INSERT INTO t SELECT a, FROM s;"), ("a", 1, "INSERT INTO t SELECT a FROM s;"), ("b", 0, "INSERT INTO t SELECT (a FROM s;"), ("b", 1, "INSERT INTO t SELECT a, ;"), ("c", 0, "SELECT 1;")]
-    kept = S.valid_writes(spark.createDataFrame(rows, "file string, pos int, stmt string"))
+    kept = syntax.valid_writes(spark.createDataFrame(rows, "file string, pos int, stmt string"))
     assert {(r.file, r.pos) for r in kept.collect()} == {("a", 1), ("b", 0), ("c", 0)}
 
 

@@ -9,11 +9,10 @@ from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tributary import schemas
-from tributary.functions import scan
+from tributary.functions import clauses, scan
 from tributary.functions.text import ASSET
 
 # The substrings that mark a call as a read or a write.
@@ -85,24 +84,34 @@ def dotted(func: ast.AST) -> tuple[str, bool]:
 
 
 def sql_details(sql: str) -> dict:
-    """Kind, targets, sources, select items and join predicates of one statement, by its tokens."""
-    found = scan.tokens(sql)
-    words = [t.word for t in found]
+    """Kind, targets, sources, select items and join predicates of one statement; by patterns where it cannot be read to its end."""
+    kind, rule, _, found = clauses.read(sql)
+    if rule is not None:
+        return _guessed_details(sql)
+    rows = [dict(zip(clauses.CLAUSE, r, strict=True)) for r in found]
+    bare = lambda name: name.strip("\"'`")
+    targets = [bare(r["name"]) for r in rows if r["clause"] == "target"]
+    gone = {t.lower() for t in targets} | {r["name"].lower() for r in rows if r["clause"] == "cte"}
+    sources = [bare(r["name"]) for r in rows if r["clause"] in ("from", "join") and r["name"] and bare(r["name"]).lower() not in gone]
+    main = next((r["child"] for r in rows if r["clause"] == "query"), None)
+    return {
+        "statement_kind": kind, "source_assets": list(dict.fromkeys(sources)), "target_assets": targets,
+        "select_items": [{"expression": r["text"], "alias": r["name"]} for r in rows if r["clause"] == "item" and r["parent"] == main and not r["branch"]],
+        "join_predicates": [r["text"] for r in rows if r["clause"] == "on"],
+    }
+
+
+def _guessed_details(sql: str) -> dict:
+    words = [t.word for t in scan.tokens(sql)]
     kind = next((w.lower() for w in words[:1] if w in ("INSERT", "UPDATE", "MERGE", "SELECT")), "")
     if words[:1] == ["WITH"]:
         kind = "insert" if "INSERT" in words else "select"
     names = lambda pattern: [m.strip("\"'`;,") for m in re.findall(pattern, sql, re.IGNORECASE)]
-    targets = names(rf"\b(?:INSERT\s+INTO|INSERT\s+OVERWRITE\s+TABLE|UPDATE|MERGE\s+INTO)\s+({ASSET})")
-    ctes = {c.lower() for c in re.findall(r"(?:\bWITH\s+|\)\s*,\s*)([A-Za-z_]\w*)\s+AS\s*\(", sql, re.IGNORECASE)}
-    gone = {t.lower() for t in targets[:1]} | ctes
+    targets = names(rf"\b(?:INSERT\s+INTO|INSERT\s+OVERWRITE\s+TABLE|UPDATE|MERGE\s+INTO)\s+({ASSET})")[:1] if kind != "select" else []
+    gone = {t.lower() for t in targets}
     sources = list(dict.fromkeys(s for s in names(rf"\b(?:FROM|JOIN|USING)\s+({ASSET})") if s and s.lower() not in gone))
-    predicates = [
-        sql[t.start + 2 : next((u.start for u in found[i + 1 :] if u.depth < t.depth or (u.depth == t.depth and u.word in
-            ("JOIN", "LEFT", "RIGHT", "INNER", "FULL", "CROSS", "WHERE", "WHEN", "ON", *scan.CLAUSES)) or u.text == ";"), len(sql))].strip()
-        for i, t in enumerate(found) if t.word == "ON"
-    ]
     items = [{"expression": e, "alias": a} for e, a in scan.projections(sql)] if kind in ("insert", "select") else []
-    return {"statement_kind": kind, "source_assets": sources, "target_assets": targets[:1] if kind != "select" else [], "select_items": items, "join_predicates": predicates}
+    return {"statement_kind": kind, "source_assets": sources, "target_assets": targets, "select_items": items, "join_predicates": []}
 
 
 def op_type(name: str, call: ast.Call, sql: str | None) -> str | None:
@@ -212,9 +221,3 @@ def temp_views(ops: DataFrame) -> DataFrame:
 
 def rejects(extracted: DataFrame) -> DataFrame:
     return extracted.where("what = 'reject'").select("file", F.col("value").alias("reason"))
-
-
-def numbered_ops(calls: DataFrame) -> DataFrame:
-    """Ids for operation rows that come without: by file, in order of (start_line, end_line)."""
-    order = W.partitionBy("file").orderBy("start_line", "end_line", "raw_line")
-    return calls.withColumn("op_no", F.row_number().over(order)).withColumn("op_id", F.concat(F.lit("op_"), "op_no"))

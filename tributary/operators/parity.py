@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tributary.functions import scan
 from tributary.functions import text as T
+from tributary.operators import syntax
 
 GATES = ("statement_count_match", "statement_order_match", "target_sequence_match", "projection_policy_match", "clause_shape_match")
 
@@ -48,8 +49,7 @@ def accept_if_no_worse(before: DataFrame, after: DataFrame, baseline: DataFrame)
 
 def edges(statements: DataFrame) -> DataFrame:
     """Distinct (file, target, target_col, source_col)."""
-    found = statements.select("file", F.explode(scan.lineage_edges_udf("stmt")).alias("e"))
-    return found.select("file", "e.*").distinct()
+    return syntax.column_edges(syntax.read(statements)).select("file", "target", "target_col", "source_col").distinct()
 
 
 def edge_text(edge_rows: DataFrame) -> DataFrame:
@@ -91,11 +91,9 @@ def golden_results(cases: DataFrame, outputs: DataFrame) -> DataFrame:
         F.flatten(F.transform(scan.split_script_udf("sql"), lambda s: F.array(s))), lambda s: s
     )
     pieces = joined.withColumn("__stmts", found)
-    exploded = pieces.select("case_name", F.explode_outer("__stmts").alias("stmt")).withColumn("e", F.explode_outer(scan.lineage_edges_udf("stmt")))
-    produced = exploded.groupBy("case_name").agg(
-        F.collect_set(F.when(F.col("e").isNotNull(), F.concat("e.target", F.lit("."), "e.target_col", F.lit("<-"), "e.source_col"))).alias("produced")
-    )
-    all_ = pieces.join(produced, "case_name").select(
+    given = edge_text(edges(pieces.select(F.col("case_name").alias("file"), F.posexplode("__stmts").alias("pos", "stmt"))))
+    produced = given.groupBy(F.col("file").alias("case_name")).agg(F.collect_set("edge").alias("produced"))
+    all_ = pieces.join(produced, "case_name", "left").withColumn("produced", F.coalesce("produced", none)).select(
         "case_name",
         F.filter(F.coalesce("expected_contains", none), lambda x: ~F.contains(low, F.lower(x))).alias("missing"),
         F.filter(F.coalesce("expected_not_contains", none), lambda x: F.contains(low, F.lower(x))).alias("forbidden_found"),

@@ -305,13 +305,3 @@ def updates_as_inserts(statements: DataFrame, known: DataFrame) -> DataFrame:
     by_target = known.select("file", T.match_key(F.col("target")).alias("__t"), F.col("columns").alias("__known"))
     met = statements.withColumn("__t", T.match_key(T.write_target(F.col("stmt")))).join(by_target, ["file", "__t"], "left")
     return met.select("file", "pos", T.update_to_insert(F.col("stmt"), F.col("__known")).alias("stmt"))
-
-
-def valid_writes(statements: DataFrame) -> DataFrame:
-    """Writes that scan as whole; of a file without any, the writes not cut off after a comma, and of one without these all."""
-    stmt = F.col("stmt")
-    write = T.strict_kind(stmt).isNotNull()
-    grade = F.when(write & scan.well_formed_udf(stmt), 2).when(write & T.looks_complete(stmt), 1).otherwise(0)
-    graded = statements.withColumn("__grade", grade)
-    best = graded.groupBy("file").agg(F.max("__grade").alias("__grade"))
-    return graded.join(best, ["file", "__grade"], "left_semi").select("file", "pos", "stmt")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tributary.functions import scan
 from tributary.functions import text as T
 from tributary.operators import statements as S
+from tributary.operators import syntax
 
 PROFILES = ("strict", "baseline_parity", "visual_parity", "baseline_sql_parity")
 
@@ -36,14 +37,14 @@ def comply(
     baseline_sql_parity only fills variables in and drops self copies; the others
     repair, project, deduplicate and turn updates into inserts; strict also removes WHERE from inserts,
     baseline_parity adds and collapses partition and temporary-target twins,
-    visual_parity strips PARTITION clauses. All drop writes that do not scan as whole.
+    visual_parity strips PARTITION clauses. All drop writes that do not read as whole.
     """
     profile = profile_of(profile)
     none = F.array().cast("array<struct<name:string,value:string>>")
     filled = statements.join(variables, "file", "left").select("file", "pos", T.substitute(F.col("stmt"), F.coalesce("vars", none)).alias("stmt"))
     clean = S.without_noops(filled)
     if profile == "baseline_sql_parity":
-        return S.valid_writes(rewrite(clean))
+        return syntax.valid_writes(rewrite(clean))
     kept = clean.where(T.is_strict_write(F.col("stmt")))
     fixed = rewrite(kept, T.strip_comments, T.tidy_partition, T.space_partition_by, T.close_subquery, T.collapse_join_wrapper, T.cut_where_on_temp)
     views = temps.groupBy("file").agg(F.collect_set("asset").alias("temps"))
@@ -57,4 +58,4 @@ def comply(
         unique = S.collapse_partitions(S.transitive_targets(S.partition_twins(unique), contract))
     if profile == "visual_parity":
         unique = rewrite(unique, T.strip_partition)
-    return S.valid_writes(unique.withColumn("stmt", scan.uniquify_aliases_udf("stmt")))
+    return syntax.valid_writes(unique.withColumn("stmt", scan.uniquify_aliases_udf("stmt")))

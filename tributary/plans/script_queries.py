@@ -39,7 +39,7 @@ def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def py_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     ops = extract.operations(extract.extract(scripts(spark, sf_dir)))
-    return ops.select("file", "op_no", "op_type", "call_name", "statement_kind", F.array_join("source_assets", ",").alias("sources"), F.array_join("target_assets", ",").alias("targets"))
+    return ops.select("file", "op_no", "op_type", "call_name", "statement_kind", F.array_join("source_assets", ",").alias("sources"), F.array_join("target_assets", ",").alias("targets"), F.array_join("join_predicates", ";").alias("predicates"))
 
 
 def py_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,11 +69,11 @@ _JOB = """WITH job AS (SELECT 'job_' || CAST(n_nationkey AS VARCHAR) AS file, CA
 
 ORACLE_SQL |= {
     "py_extract": f"""{_JOB}
- SELECT file, 1 AS op_no, 'read' AS op_type, 'spark.sql' AS call_name, 'select' AS statement_kind, 'src.' || chr(123) || 'STAGE' || chr(125) || ',dim.d' AS sources, '' AS targets FROM job
- UNION ALL SELECT file, 2, 'write', 'df.createOrReplaceTempView', 'create_temp_view', '', '#tmp_' || key FROM job
- UNION ALL SELECT file, 3, 'write', 'spark.sql', 'insert', 'tmp_' || key, chr(123) || 'TARGET' || chr(125) FROM job
- UNION ALL SELECT file, 4, 'write', 'hive.executeUpdate', 'update', 'src.n' || key, 'mart.' || nation FROM job
- UNION ALL SELECT file, 5, 'write', 'spark.read.parquet.write.mode.saveAsTable', '', '', 'raw.' || nation FROM job""",
+ SELECT file, 1 AS op_no, 'read' AS op_type, 'spark.sql' AS call_name, 'select' AS statement_kind, 'src.' || chr(123) || 'STAGE' || chr(125) || ',dim.d' AS sources, '' AS targets, 's.a = d.a' AS predicates FROM job
+ UNION ALL SELECT file, 2, 'write', 'df.createOrReplaceTempView', 'create_temp_view', '', '#tmp_' || key, '' FROM job
+ UNION ALL SELECT file, 3, 'write', 'spark.sql', 'insert', 'tmp_' || key, chr(123) || 'TARGET' || chr(125), '' FROM job
+ UNION ALL SELECT file, 4, 'write', 'hive.executeUpdate', 'update', 'src.n' || key, 'mart.' || nation, '' FROM job
+ UNION ALL SELECT file, 5, 'write', 'spark.read.parquet.write.mode.saveAsTable', '', '', 'raw.' || nation, '' FROM job""",
     "py_variables": f"{_JOB} SELECT file, 0 AS ord, 'TARGET' AS name, 'mart.' || nation AS value FROM job UNION ALL SELECT file, 1, 'STAGE', 'stage_' || region FROM job",
     "py_call_graph": f"{_JOB} SELECT file, 'main' AS fn, 'load' AS callees FROM job",
     "py_rejects": "SELECT 'broken' AS file, 'SyntaxError: invalid syntax (<unknown>, line 1)' AS reason",

@@ -542,14 +542,6 @@ def update_lineage_all(spark, sf_dir):
     return S.updates_as_inserts(_base(spark, sf_dir), S.known_insert_columns(corpus.operations(spark, sf_dir)))
 
 
-@query("valid_writes", f"""WITH s AS (SELECT {corpus.FILE} AS file, {corpus.POS} AS pos, {corpus.STMT} AS stmt, {_KIND} AS kind FROM customer)
- SELECT file, pos, replace(stmt, ' FROM ', CASE WHEN kind = 1 THEN ', FROM ' ELSE ' FROM ' END) AS stmt FROM s WHERE kind <> 1""")
-def valid_writes(spark, sf_dir):
-    """Inserts with a comma before FROM go; every file has whole writes, so none falls back."""
-    spoiled = F.when(F.col("stmt").contains("AS bb"), F.replace("stmt", F.lit(" FROM "), F.lit(", FROM "))).otherwise(F.col("stmt"))
-    return S.valid_writes(_base(spark, sf_dir).withColumn("stmt", spoiled))
-
-
 @query("balanced_parentheses", f"""{_WITH} SELECT pos, len(regexp_extract_all(stmt, '\\(')) = len(regexp_extract_all(stmt, '\\)')) AS balanced FROM statements""")
 def balanced_parentheses(spark, sf_dir):
     return _base(spark, sf_dir).select("pos", scan.balanced_udf("stmt").alias("balanced"))
