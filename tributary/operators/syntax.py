@@ -115,41 +115,41 @@ def physical_edges(reading: DataFrame, levels: int = 16) -> DataFrame:
         F.lower(F.coalesce(F.nullif("alias", F.lit("")), F.regexp_extract("name", r"([^.]*)$", 1))).alias("qualifier"),
         F.coalesce("cte_query", F.when(F.col("child") >= 0, F.col("child"))).alias("query"),
     )
-    alone = sources.groupBy(*key, "block").agg(F.count(F.lit(1)).alias("n"), F.first("source").alias("source"), F.first("query").alias("query")).where("n = 1")
+    # a bare column is looked up with an empty qualifier, which only a block's single source has
+    alone = sources.groupBy(*key, "block").agg(F.count(F.lit(1)).alias("n"), F.first("source").alias("source"), F.lit("").alias("qualifier"), F.first("query").alias("query"))
+    sources = sources.unionByName(alone.where("n = 1").drop("n"))
     items = rows.where("clause IN ('item', 'set')").select(
         *key, "block", F.col("parent").alias("query"), "clause", "branch", "ord", F.lower("name").alias("column"), F.explode_outer("columns").alias("used")
     )
-
-    def located(found: DataFrame) -> DataFrame:
-        """(.., source, query, source_col) of used columns of blocks."""
-        parts = found.withColumn("qualifier", F.nullif(F.regexp_extract("used", r"([^.]*)\.[^.]*$", 1), F.lit("")))
-        parts = parts.withColumn("source_col", F.regexp_extract("used", r"([^.]*)$", 1))
-        named = parts.where("qualifier IS NOT NULL").join(sources, [*key, "block", "qualifier"], "left")
-        bare = parts.where("qualifier IS NULL").join(alone.drop("n"), [*key, "block"], "left")
-        wanted = [*key, "target", "target_col", "source", "query", "source_col"]
-        return named.select(*wanted).unionByName(bare.select(*wanted))
-
     main = reading.select(*key, target_of().alias("target"), _first(_of("query"), "child").alias("main"), F.transform(F.split(_first(_of("columns"), "text"), ","), lambda c: F.lower(F.trim(c))).alias("listed"))
-    names = items.join(main, key).where("clause = 'item' AND query = main AND branch = 0").select(*key, "ord", F.col("column").alias("first_name")).distinct()
-    top = items.join(main, key).where("target IS NOT NULL AND ((clause = 'item' AND query = main) OR (clause = 'set' AND block = 0))").join(names, [*key, "ord"], "left")
+    names = reading.select(*key, F.inline(F.filter("read.clauses", lambda c: (c["clause"] == "item") & (c["branch"] == 0)))).select(*key, F.col("parent").alias("main"), "ord", F.lower("name").alias("first_name"))
+    top = items.join(main, key).where("target IS NOT NULL AND ((clause = 'item' AND query = main) OR (clause = 'set' AND block = 0))").join(names, [*key, "main", "ord"], "left")
     listed = F.try_element_at("listed", F.col("ord") + 1)
     target_col = F.when(F.col("clause") == "set", F.col("column")).otherwise(F.coalesce(listed, "first_name", "column"))
-    start = top.select(*key, "block", "target", target_col.alias("target_col"), "used")
-    done = start.where("used IS NULL").select(*key, "target", "target_col", F.lit(None).cast("string").alias("source"), F.lit("<derived>").alias("source_col"))
-    open_ones = located(start.where("used IS NOT NULL"))
-    inner = items.where("clause = 'item'").select(*key, "query", F.col("block").alias("block"), F.col("column").alias("source_col"), "used")
+    derived = F.lit("<derived>")
+
+    def located(found: DataFrame, *more: str) -> DataFrame:
+        """(.., source, query, source_col) of what blocks use."""
+        qualifier = F.when(F.col("used") != derived, F.regexp_extract("used", r"([^.]*)\.[^.]*$", 1))
+        split = found.withColumn("qualifier", qualifier).withColumn("source_col", F.regexp_extract("used", r"([^.]*)$", 1))
+        return split.join(sources, [*key, "block", "qualifier"], "left").select(*key, "target", "target_col", "source", "query", "source_col", *more)
+
+    state = located(top.select(*key, "block", "target", target_col.alias("target_col"), F.coalesce("used", derived).alias("used")))
+    inner = items.where("clause = 'item'").select(*key, "query", F.col("column").alias("source_col"), F.col("block").alias("in_block"), F.coalesce("used", derived).alias("in_used"))
+    stars = rows.where("clause = 'item' AND (text = '*' OR text LIKE '%.*')").select(*key, F.col("parent").alias("query"), F.col("block").alias("star_block")).distinct()
     for _ in range(levels):
-        done = done.unionByName(open_ones.where("query IS NULL").select(*done.columns))
-        deeper = open_ones.where("query IS NOT NULL").drop("source")
-        met = deeper.join(inner, [*key, "query", "source_col"], "left")
-        derived = met.where("block IS NOT NULL AND used IS NULL")
-        done = done.unionByName(derived.select(*key, "target", "target_col", F.lit(None).cast("string").alias("source"), F.lit("<derived>").alias("source_col")))
-        stars = inner.where("source_col = '*' OR source_col LIKE '%.*'").select(*key, "query", F.col("block").alias("star")).distinct()
-        passed = met.join(stars, [*key, "query"], "left").withColumn("used", F.when(F.col("block").isNull(), F.col("source_col")).otherwise(F.col("used")))
-        passed = passed.withColumn("block", F.coalesce("block", "star")).where("used IS NOT NULL")
-        open_ones = located(passed.select(*key, "block", "target", "target_col", "used"))
-    ended = F.when(F.col("query").isNull(), F.col("source")).alias("source")
-    return done.unionByName(open_ones.select(*key, "target", "target_col", ended, "source_col")).distinct()
+        met = state.join(inner, [*key, "query", "source_col"], "left").join(stars, [*key, "query"], "left")
+        ended = F.col("query").isNull()
+        deeper = located(
+            met.select(
+                *key, "target", "target_col", F.coalesce("in_block", "star_block", F.lit(-1)).alias("block"), F.coalesce("in_used", "source_col").alias("used"),
+                F.when(ended, F.col("source")).alias("was"), ended.alias("ended"),
+            ),
+            "was", "ended",
+        )
+        state = deeper.withColumn("source", F.when(F.col("ended"), F.col("was")).otherwise(F.col("source"))).drop("was", "ended")
+    source = F.when(F.col("query").isNull(), F.col("source"))
+    return state.select(*key, "target", "target_col", source.alias("source"), "source_col").distinct()
 
 
 def valid_writes(statements: DataFrame) -> DataFrame:
