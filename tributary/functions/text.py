@@ -322,11 +322,11 @@ def enforce_case(stmt: Column, preferred: Column) -> Column:
 
 
 def canonical_temps(stmt: Column, temps: Column) -> Column:
-    """Bare names of registered temporary views as #name."""
+    """Bare names of registered temporary views as #name; parts of dotted names and paths are none."""
 
     def put(acc: Column, t: Column) -> Column:
         bare = F.regexp_replace(t, "^#", "")
-        pattern = F.concat(F.lit("(?i)(?<![A-Za-z0-9_#])#?"), _quoted(bare), F.lit("(?![A-Za-z0-9_])"))
+        pattern = F.concat(F.lit("(?i)(?<![A-Za-z0-9_#./])#?"), _quoted(bare), F.lit("(?![A-Za-z0-9_])"))
         return F.regexp_replace(acc, pattern, F.concat(F.lit("#"), _literal(bare)))
 
     return F.coalesce(F.aggregate(F.array_sort(temps), stmt, put), stmt)

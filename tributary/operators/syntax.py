@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tributary.functions import clauses
 from tributary.functions import text as T
-from tributary.staging import staged
+from tributary.staging import drop_staged, staged
 
 STATEMENT = ("file", "pos")
 
@@ -77,7 +77,7 @@ def column_edges(reading: DataFrame) -> DataFrame:
     explicit column list names them all. An expression without columns gives <derived>,
     a statement with a defect gives nothing.
     """
-    listed = F.transform(F.split(_first(_of("columns"), "text"), ","), F.trim)
+    listed = F.transform(F.split(_first(_of("columns"), "text"), ","), lambda c: F.trim(c))
     items = F.filter("read.clauses", lambda c: (c["clause"] == "item") & (c["parent"] == F.col("__main")))
     first = F.transform(F.filter("__items", lambda c: c["branch"] == 0), lambda c: c["name"])
     name = lambda c: F.coalesce(F.try_element_at("__listed", c["ord"] + 1), F.try_element_at("__first", c["ord"] + 1), c["name"])
@@ -96,12 +96,12 @@ def physical_edges(reading: DataFrame, levels: int = 16) -> DataFrame:
     """(file, pos, target, target_col, source, source_col): column_edges followed to the tables that hold the columns.
 
     A qualifier is looked up among its block's sources (by alias, else by the table's last
-    name); a bare column belongs to the block's only source, else its source is null. A
-    source that is a derived table or CTE is replaced by what its items of that name (or
-    its star) name, level by level; each level is a join on statement, query and column.
-    There are as many levels as the most nested statement has queries, `levels` at most;
-    what is open after that has a null source. The statements are read once, into a staged
-    table, before the joins.
+    name); a bare column belongs to the block's only source, else to the only one with an
+    item of that name, else to the only table or star, else its source is null. So each
+    item of a query leads to columns of tables or of other queries; joining these hops
+    with themselves doubles their reach, until the most nested statement's queries (or
+    `levels`) are passed. What is open after that has a null source. Statements and hops
+    are computed once, into staged tables.
     """
     reading = staged(reading.where(is_whole()).select(*STATEMENT, "read"), "clauses")
     nested = F.size(F.filter("read.clauses", lambda c: (c["child"] >= 0) & c["clause"].isin("cte", "from", "join")))
@@ -115,9 +115,6 @@ def physical_edges(reading: DataFrame, levels: int = 16) -> DataFrame:
         F.lower(F.coalesce(F.nullif("alias", F.lit("")), F.regexp_extract("name", r"([^.]*)$", 1))).alias("qualifier"),
         F.coalesce("cte_query", F.when(F.col("child") >= 0, F.col("child"))).alias("query"),
     )
-    # a bare column is looked up with an empty qualifier, which only a block's single source has
-    alone = sources.groupBy(*key, "block").agg(F.count(F.lit(1)).alias("n"), F.first("source").alias("source"), F.lit("").alias("qualifier"), F.first("query").alias("query"))
-    sources = sources.unionByName(alone.where("n = 1").drop("n"))
     items = rows.where("clause IN ('item', 'set')").select(
         *key, "block", F.col("parent").alias("query"), "clause", "branch", "ord", F.lower("name").alias("column"), F.explode_outer("columns").alias("used")
     )
@@ -128,28 +125,50 @@ def physical_edges(reading: DataFrame, levels: int = 16) -> DataFrame:
     target_col = F.when(F.col("clause") == "set", F.col("column")).otherwise(F.coalesce(listed, "first_name", "column"))
     derived = F.lit("<derived>")
 
+    stars = rows.where("clause = 'item' AND (text = '*' OR text LIKE '%.*')").select(*key, F.col("parent").alias("query"), F.col("block").alias("star_block")).distinct()
+    # whose a bare column is: the block's only source, the only one with an item of that name, or the only one that may hold any name
+    single = lambda rows, *by: rows.groupBy(*key, "block", *by).agg(F.count(F.lit(1)).alias("n"), F.first("source").alias("source"), F.first("query").alias("query")).where("n = 1").drop("n")
+    alone = single(sources).withColumn("source_col", F.lit(None).cast("string"))
+    listed_in = items.where("clause = 'item'").select(*key, "query", F.col("column").alias("source_col")).distinct()
+    owners = single(sources.join(listed_in, [*key, "query"]), "source_col")
+    open_ones = single(sources.join(stars.select(*key, "query", F.lit(True).alias("starred")).distinct(), [*key, "query"], "left").where("query IS NULL OR starred"))
+    by_name = owners.select(*key, "block", "source_col", F.col("source").alias("o_source"), F.col("query").alias("o_query"), F.lit(True).alias("owned"))
+    by_block = alone.select(*key, "block", F.col("source").alias("b_source"), F.col("query").alias("b_query")).unionByName(
+        open_ones.join(alone, [*key, "block"], "left_anti").select(*key, "block", F.col("source").alias("b_source"), F.col("query").alias("b_query"))
+    )
+
     def located(found: DataFrame, *more: str) -> DataFrame:
         """(.., source, query, source_col) of what blocks use."""
         qualifier = F.when(F.col("used") != derived, F.regexp_extract("used", r"([^.]*)\.[^.]*$", 1))
         split = found.withColumn("qualifier", qualifier).withColumn("source_col", F.regexp_extract("used", r"([^.]*)$", 1))
-        return split.join(sources, [*key, "block", "qualifier"], "left").select(*key, "target", "target_col", "source", "query", "source_col", *more)
-
-    state = located(top.select(*key, "block", "target", target_col.alias("target_col"), F.coalesce("used", derived).alias("used")))
-    inner = items.where("clause = 'item'").select(*key, "query", F.col("column").alias("source_col"), F.col("block").alias("in_block"), F.coalesce("used", derived).alias("in_used"))
-    stars = rows.where("clause = 'item' AND (text = '*' OR text LIKE '%.*')").select(*key, F.col("parent").alias("query"), F.col("block").alias("star_block")).distinct()
-    for _ in range(levels):
-        met = state.join(inner, [*key, "query", "source_col"], "left").join(stars, [*key, "query"], "left")
+        met = split.join(sources, [*key, "block", "qualifier"], "left").join(by_name, [*key, "block", "source_col"], "left").join(by_block, [*key, "block"], "left")
+        bare = F.col("qualifier") == ""
+        pick = lambda n: F.when(bare & F.coalesce("owned", F.lit(False)), F.col(f"o_{n}")).when(bare, F.col(f"b_{n}")).otherwise(F.col(n))
+        return met.select(*key, "target", "target_col", pick("source").alias("source"), pick("query").alias("query"), "source_col", *more)
+
+    names_used = items.where("used IS NOT NULL").select(*key, F.regexp_extract("used", r"([^.]*)$", 1).alias("column")).distinct()
+    passed = stars.join(names_used, key).join(listed_in.withColumnRenamed("source_col", "column"), [*key, "query", "column"], "left_anti")
+    each = items.where("clause = 'item'").select(*key, "query", "column", "block", F.coalesce("used", derived).alias("used"))
+    each = each.unionByName(passed.select(*key, "query", "column", F.col("star_block").alias("block"), F.col("column").alias("used")))
+    hops = located(each.select(*key, "block", "used", F.col("query").alias("target"), F.col("column").alias("target_col")))
+    hops = staged(hops.select(*key, F.col("target").alias("at_query"), F.col("target_col").alias("at_col"), "source", "query", "source_col").distinct(), "hops")
+
+    def further(found: DataFrame) -> DataFrame:
+        """Columns of queries replaced by what these lead to."""
+        next_ = hops.select(*key, F.col("at_query").alias("query"), F.col("at_col").alias("source_col"), F.col("source").alias("n_source"), F.col("query").alias("n_query"), F.col("source_col").alias("n_col"))
+        met = found.join(next_, [*key, "query", "source_col"], "left")
         ended = F.col("query").isNull()
-        deeper = located(
-            met.select(
-                *key, "target", "target_col", F.coalesce("in_block", "star_block", F.lit(-1)).alias("block"), F.coalesce("in_used", "source_col").alias("used"),
-                F.when(ended, F.col("source")).alias("was"), ended.alias("ended"),
-            ),
-            "was", "ended",
-        )
-        state = deeper.withColumn("source", F.when(F.col("ended"), F.col("was")).otherwise(F.col("source"))).drop("was", "ended")
+        moved = {"source": F.when(ended, F.col("source")).otherwise(F.col("n_source")), "source_col": F.when(ended, F.col("source_col")).otherwise(F.coalesce("n_col", "source_col")), "query": F.col("n_query")}
+        return met.withColumns(moved).drop("n_source", "n_query", "n_col")
+
+    for _ in range(max(0, levels - 1).bit_length()):
+        doubled = staged(further(hops).distinct(), "hops")
+        drop_staged(hops)
+        hops = doubled
+    start = located(top.select(*key, "block", "target", target_col.alias("target_col"), F.coalesce("used", derived).alias("used")))
+    reached = further(start) if levels else start
     source = F.when(F.col("query").isNull(), F.col("source"))
-    return state.select(*key, "target", "target_col", source.alias("source"), "source_col").distinct()
+    return reached.select(*key, "target", "target_col", source.alias("source"), "source_col").distinct()
 
 
 def valid_writes(statements: DataFrame) -> DataFrame:
