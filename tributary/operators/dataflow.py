@@ -10,10 +10,12 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tributary.functions import flow
 from tributary.functions import text as T
+from tributary.operators import statements as S
 
 FLOW = (
     "file string, step int, what string, line int, scope string, loop string, name string, method string, format string, "
@@ -117,9 +119,11 @@ def statements(flows: DataFrame) -> DataFrame:
     stmt = F.when(F.size("steps") == 0, from_last).when(alone, F.concat(F.lit("INSERT INTO "), "target", F.lit(" "), only)).otherwise(F.concat(F.lit("WITH "), ctes, F.lit(" "), from_last))
     made = whole.select("file", F.col("step").alias("pos"), T.terminated(stmt).alias("stmt"), "line", "scope", "loop")
     own = embedded(flows).where("stmt IS NOT NULL").select("file", F.col("step").alias("pos"), "stmt", "line", "scope", "loop")
-    views = assets(flows).where("kind = 'view'").groupBy("file").agg(F.collect_set(F.lower("asset")).alias("views"))
-    named = T.canonical_temps(F.col("stmt"), F.coalesce("views", F.array().cast("array<string>")))
-    return made.unionByName(own).join(views, "file", "left").withColumn("stmt", named).drop("views")
+    views = assets(flows).where("kind = 'view'").select("file", "asset").distinct()
+    every = made.unionByName(own).withColumnRenamed("pos", "step")
+    placed = every.withColumn("pos", F.row_number().over(W.partitionBy("file").orderBy("step", "stmt")))
+    named = S.with_temp_names(placed.select("file", "pos", "stmt"), views)
+    return placed.drop("stmt").join(named, ["file", "pos"]).select("file", F.col("step").alias("pos"), "stmt", "line", "scope", "loop")
 
 
 def assets(flows: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tributary.functions import text as T
+
 
 def line_chunks(scripts: DataFrame, size: int = 140, overlap: int = 25, id_col: str = "file", text_col: str = "code") -> DataFrame:
     """(id, chunk_no, start_line, end_line, body): sliding windows of lines; the first that reaches the end is the last."""
@@ -61,6 +63,30 @@ def resolve_variables(ops: DataFrame, variables: DataFrame) -> DataFrame:
     )
 
 
+def with_values(statements: DataFrame, variables: DataFrame, column: str = "stmt") -> DataFrame:
+    """Statements with the values of their file's variables (file, vars array) for {name} and the bare word name.
+
+    Only the variables whose names a statement holds are tried on it: its words meet the
+    names in a join. A value that names other variables is filled in first.
+    """
+    rows = variables.select("file", F.posexplode("vars").alias("ord", "v")).select("file", "ord", "v.name", F.col("v.value").alias("value"))
+    rows = rows.groupBy("file", "name").agg(F.max_by("value", "ord").alias("value"), F.max("ord").alias("ord"))
+    inner = _filled_in(rows.withColumnRenamed("name", "own"), rows, ["file", "own"], "value").withColumnRenamed("own", "name")
+    id_columns = [c for c in statements.columns if c != column]
+    return _filled_in(statements, inner, id_columns, column).select(*statements.columns)
+
+
+def _filled_in(rows: DataFrame, values: DataFrame, keys: list[str], column: str) -> DataFrame:
+    known = values.select("file", F.col("name").alias("__word"), F.col("value").alias("__value"), F.col("ord").alias("__ord"))
+    numbered = rows.withColumn("__row", F.xxhash64(*keys, column))
+    words = F.explode(F.array_distinct(F.regexp_extract_all(column, F.lit(r"\w+"), F.lit(0)))).alias("__word")
+    met = numbered.select("file", "__row", words).distinct().join(known, ["file", "__word"])
+    listed = met.groupBy("file", "__row").agg(F.array_sort(F.collect_list(F.struct("__ord", "__word", "__value"))).alias("__used"))
+    pairs = F.transform("__used", lambda u: F.struct(u["__word"].alias("name"), u["__value"].alias("value")))
+    both = numbered.join(listed, ["file", "__row"], "left")
+    return both.withColumn(column, F.when(F.col("__used").isNull(), F.col(column)).otherwise(T.substitute(F.col(column), pairs))).drop("__row", "__used")
+
+
 def function_scopes(ops: DataFrame, calls: DataFrame) -> DataFrame:
     """ops with function_scope: the least function name of the file that the line names, null without one."""
     names = calls.groupBy("file").agg(F.array_sort(F.collect_set("fn")).alias("__fns"))
@@ -72,3 +98,28 @@ def prompts(units: DataFrame, dialect: str = "hive") -> DataFrame:
     """units with the request text that a generator would be asked with."""
     head = f"Write {dialect} statements for the data flows of lines "
     return units.withColumn("prompt", F.concat(F.lit(head), "start_line", F.lit("-"), "end_line", F.lit(":\n"), "body"))
+
+
+def _scripts(statements: DataFrame) -> DataFrame:
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("pos", "stmt"))), lambda s: s["stmt"])
+    return statements.groupBy("file").agg(F.array_join(listed, "\n").alias("script"))
+
+
+def refine_requests(statements: DataFrame) -> DataFrame:
+    """(file, script, prompt): each file's statements with the request to put them together."""
+    asked = F.concat(F.lit("Put the statements of "), "file", F.lit(" together: valid ones only, each once, in their order.\n\n"), "script")
+    return _scripts(statements).withColumn("prompt", asked)
+
+
+def repair_requests(statements: DataFrame, violations: DataFrame) -> DataFrame:
+    """(file, script, errors, prompt) of files with violations: what is wrong, a line each, and the request to mend it.
+
+    A file without statements has an empty script. Errors are sorted, so that a request
+    is the same each time.
+    """
+    shown = F.trim(F.concat_ws(" ", F.coalesce(F.col("pos").cast("string"), F.lit("file")), "rule", "detail"))
+    errors = violations.groupBy("file").agg(F.array_sort(F.collect_list(shown)).alias("errors"))
+    asked = errors.join(_scripts(statements), "file", "left").withColumn("script", F.coalesce("script", F.lit("")))
+    lines = F.array_join(F.transform("errors", lambda e: F.concat(F.lit("- "), e)), "\n")
+    text = F.concat(F.lit("Mend the statements of "), "file", F.lit(" without new sources or targets. What fails:\n"), lines, F.lit("\n\n"), "script")
+    return asked.select("file", "script", "errors", text.alias("prompt"))

@@ -294,10 +294,57 @@ def column_spellings(ops: DataFrame) -> DataFrame:
     return _first_spellings(rows.where(F.col("name").rlike(r"^[A-Za-z_]\w*$") & ~F.lower("name").isin(words)))
 
 
-def spelled(statements: DataFrame, spellings: DataFrame) -> DataFrame:
-    """Statements with each of their file's names in its spelling."""
-    none = F.array().cast("array<string>")
-    return statements.join(spellings, "file", "left").select("file", "pos", T.enforce_case(F.col("stmt"), F.coalesce("names", none)).alias("stmt"))
+#: Literals, quoted paths, placeholders, dotted names, and single other characters.
+_PIECES = r"""'[^']*+'|"[^"]*+"|\{[^{}]*+\}|[#@]?\w++(?:\.[#@]?\w++)*+|[\s\S]"""
+
+
+def _dotted(piece: Column) -> tuple[Column, Column, Column]:
+    """Lower case: a name (without the quotes of a path), what is before its last dot, and what is after it."""
+    low = F.lower(F.btrim(piece, F.lit('"')))
+    return low, F.regexp_extract(low, r"^(.*)\.[^.]*$", 1), F.regexp_extract(low, r"\.([^.]*)$", 1)
+
+
+def renamed(statements: DataFrame, dictionary: DataFrame, after_dot: bool = True) -> DataFrame:
+    """Statements with the names of their file's dictionary (file, key in lower case, name) in place of the keys.
+
+    A statement is cut into names, literals and other characters once. Its different names
+    meet the dictionary in a join on file and key, so the work does not grow with what the
+    dictionary holds besides; a name that is not a key may hold one before its last dot,
+    and where `after_dot`, one after it. Literals in single quotes stay. A null statement stays null.
+    """
+    names = F.array_distinct(F.filter(F.regexp_extract_all("stmt", F.lit(_PIECES), F.lit(0)), lambda p: p.rlike(r'^["#@\w]')))
+    keys = F.array_distinct(F.filter(F.flatten(F.transform(names, lambda p: F.array(*_dotted(p)))), lambda k: k != ""))
+    wanted = statements.select("file", "pos", F.explode(keys).alias("key"))
+    entry = F.struct("key", "name")
+    met = wanted.join(dictionary.select("file", "key", "name"), ["file", "key"]).groupBy("file", "pos").agg(F.map_from_entries(F.array_distinct(F.collect_list(entry))).alias("__map"))
+
+    def put(piece: Column) -> Column:
+        whole, before, after = _dotted(piece)
+        at = lambda k: F.try_element_at("__map", k)
+        tail = F.regexp_extract(piece, r"\.([^.]*)$", 1)
+        parts = F.concat(F.coalesce(at(before), F.regexp_extract(piece, r"^(.*)\.[^.]*$", 1)), F.lit("."), F.coalesce(at(after), tail) if after_dot else tail)
+        quoted = F.concat(F.lit('"'), at(whole), F.lit('"'))
+        return F.when(piece.startswith('"'), F.coalesce(quoted, piece)).when(~piece.rlike(r"^[#@\w]"), piece).otherwise(F.coalesce(at(whole), F.when(before != "", parts), piece))
+
+    pieces = F.transform(F.regexp_extract_all("stmt", F.lit(_PIECES), F.lit(0)), put)
+    both = statements.join(met, ["file", "pos"], "left")
+    return both.select("file", "pos", F.when(F.col("__map").isNull(), F.col("stmt")).otherwise(F.array_join(pieces, "")).alias("stmt"))
+
+
+def spelled(statements: DataFrame, *spellings: DataFrame) -> DataFrame:
+    """Statements with each of their file's names (tables of (file, names)) in its spelling; the first table's spelling counts."""
+    rows = [s.select("file", F.explode("names").alias("name"), F.lit(k).alias("rank")) for k, s in enumerate(spellings)]
+    every = rows[0]
+    for more in rows[1:]:
+        every = every.unionByName(more)
+    return renamed(statements, every.groupBy("file", F.lower("name").alias("key")).agg(F.min_by("name", "rank").alias("name")))
+
+
+def with_temp_names(statements: DataFrame, temps: DataFrame) -> DataFrame:
+    """Bare names of a file's temporary views (file, asset) as #name; parts of longer names and of paths are none."""
+    bare = temps.select("file", F.regexp_replace("asset", "^#", "").alias("bare")).distinct()
+    keys = F.explode(F.array(F.lower("bare"), F.concat(F.lit("#"), F.lower("bare")))).alias("key")
+    return renamed(statements, bare.select("file", keys, F.concat(F.lit("#"), "bare").alias("name")).groupBy("file", "key").agg(F.min("name").alias("name")), after_dot=False)
 
 
 def updates_as_inserts(statements: DataFrame, known: DataFrame) -> DataFrame:

@@ -1,11 +1,17 @@
-"""Scripts to statements, violations, edges and verdicts, in one lazy plan."""
+"""Scripts to statements, violations, edges and verdicts.
+
+The plan is cut at staged tables: what is found in the scripts, their operations, the
+statements before and after compliance. Files that fail are tried again, a bounded
+number of times; every attempt is a staged table, and `best_of` picks from them.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.errors import LimitExceeded
@@ -13,6 +19,7 @@ from tributary.functions import text as T
 from tributary.operators import extract, parity, resolve, validate
 from tributary.operators import statements as S
 from tributary.plans.profiles import comply, profile_of
+from tributary.staging import staged
 
 
 @dataclass(frozen=True)
@@ -25,11 +32,12 @@ class Config:
     max_files: int = 50
     max_bytes: int = 1 << 20
     explicit_columns: bool = True
+    max_repairs: int = 1
 
     @classmethod
     def of(cls, settings: dict[str, str]) -> Config:
         """From text settings such as environment variables; unknown profiles are strict."""
-        kinds = {"chunk_lines": int, "overlap_lines": int, "max_files": int, "max_bytes": int, "explicit_columns": lambda v: v.lower() in ("1", "true", "yes")}
+        kinds = {"chunk_lines": int, "overlap_lines": int, "max_files": int, "max_bytes": int, "max_repairs": int, "explicit_columns": lambda v: v.lower() in ("1", "true", "yes")}
         given = {k: kinds[k](v) for k, v in settings.items() if k in kinds}
         return cls(profile=profile_of(settings.get("profile")), **given)
 
@@ -53,53 +61,129 @@ class Result:
     rejects: DataFrame
 
 
-def run(scripts: DataFrame, config: Config = Config(), generate: Callable[[DataFrame], DataFrame] | None = None) -> Result:
+@dataclass(frozen=True)
+class Evidence:
+    """What the scripts say, as tables that every attempt is made and judged with."""
+
+    ops: DataFrame
+    variables: DataFrame
+    values: DataFrame
+    temps: DataFrame
+    contract: DataFrame
+    known: DataFrame
+    allowed: DataFrame
+
+    @classmethod
+    def of(cls, found: DataFrame) -> Evidence:
+        variables = extract.variables(found)
+        values = resolve.variable_arrays(variables)
+        ops = resolve.resolve_variables(extract.operations(found), variables)
+        texts = resolve.with_values(ops.select("file", "op_no", "sql_text"), values, "sql_text")
+        ops = staged(ops.drop("sql_text").join(texts, ["file", "op_no"]), "operations")
+        temps = extract.temp_views(ops)
+        contract = staged(S.write_contract(ops, temps), "contract")
+        spread = S.propagated_columns(ops, contract, S.known_temp_columns(ops))
+        own = S.known_insert_columns(ops)
+        known = own.join(spread.select("file", "target"), ["file", "target"], "left_anti").unionByName(spread)
+        # known columns are rewritten as one text each, in the spelling that statements get
+        texts = known.select("file", F.col("target").alias("pos"), F.array_join("columns", "\x01").alias("stmt"))
+        spelled = S.spelled(texts, S.asset_spellings(ops, variables), S.column_spellings(ops))
+        known = spelled.select("file", F.col("pos").alias("target"), F.split("stmt", "\x01").alias("columns"))
+        return cls(ops, variables, values, temps, contract, staged(known, "columns"), S.allowed_assets(ops, variables, temps))
+
+    def evidenced(self, made: DataFrame) -> DataFrame:
+        """A generator's statements (file, pos, stmt): writes only, without names that the scripts do not have."""
+        cut = made.withColumn("stmt", T.cut_to_write(T.sanitize(F.col("stmt")))).where(T.is_write_shaped(F.col("stmt")))
+        return S.without_hallucinations(cut, self.allowed, self.temps)
+
+    def finished(self, base: DataFrame, config: Config) -> DataFrame:
+        """Statements completed by the contract, ordered, spelled as the scripts spell names, and made compliant."""
+        placed = S.reordered(S.augmented(base, self.contract), self.contract).select("file", F.col("new_pos").alias("pos"), "stmt")
+        spelled = staged(S.spelled(placed, S.asset_spellings(self.ops, self.variables), S.column_spellings(self.ops)), "spelled")
+        return staged(comply(spelled, self.contract, self.known, self.temps, self.values, config.profile), "statements")
+
+    def judged(self, statements: DataFrame, config: Config) -> DataFrame:
+        return validate.violations(statements, self.ops, self.contract, self.allowed, config.explicit_columns)
+
+
+def run(
+    scripts: DataFrame, config: Config = Config(), generate: Callable[[DataFrame], DataFrame] | None = None, repair: Callable[[DataFrame], DataFrame] | None = None
+) -> Result:
     """The whole pipeline over (file, code).
 
     generate may turn units (with prompts) into further statements (file, pos, stmt);
-    without it every statement comes from the operations' own evidence.
+    without it every statement comes from the operations' own evidence. With a repair,
+    files with violations are tried again up to config.max_repairs times: it gets (file,
+    script, errors, prompt) and gives statements (file, pos, stmt); where it gives none,
+    the contract's own statements are the attempt. A file keeps its best attempt. Without
+    one there is nothing new to try: what the contract lacks was added at once.
     """
-    found = extract.extract(scripts).persist()  # one parse of the scripts feeds every table below
-    variables = extract.variables(found)
-    raw = extract.operations(found)
-    ops = resolve.resolve_variables(raw, variables)
-    values = resolve.variable_arrays(variables)
-    none = F.array().cast("array<struct<name:string,value:string>>")
-    ops = ops.join(values, "file", "left").withColumn("sql_text", T.substitute(F.col("sql_text"), F.coalesce("vars", none))).drop("vars").persist()
-    temps = extract.temp_views(ops)
+    found = staged(extract.extract(scripts), "found")  # one parse of the scripts feeds every table below
+    evidence = Evidence.of(found)
+    ops, contract = evidence.ops, evidence.contract
     units = resolve.prompts(resolve.line_chunks(scripts, config.chunk_lines, config.overlap_lines))
-    contract = S.write_contract(ops, temps).persist()
     base = S.evidence_statements(ops).select("file", F.col("op_no").alias("pos"), "stmt")
     if generate is not None:
-        made = generate(units).withColumn("stmt", T.cut_to_write(T.sanitize(F.col("stmt")))).where(T.is_write_shaped(F.col("stmt")))
-        allowed = S.allowed_assets(ops, variables, temps)
-        base = base.unionByName(S.without_hallucinations(made, allowed, temps).select("file", (F.col("pos") + 100_000).cast("int").alias("pos"), "stmt"))
-    temp_columns = S.known_temp_columns(ops)
-    spread = S.propagated_columns(ops, contract, temp_columns)
-    own = S.known_insert_columns(ops)
-    known = own.join(spread.select("file", "target"), ["file", "target"], "left_anti").unionByName(spread)
-    whole = S.augmented(base, contract)
-    placed = S.reordered(whole, contract).select("file", F.col("new_pos").alias("pos"), "stmt")
-    placed = S.spelled(S.spelled(placed, S.asset_spellings(ops, variables)), S.column_spellings(ops)).persist()
-    done = comply(placed, contract, known, temps, values, config.profile).persist()
-    bad = validate.violations(done, ops, contract, S.allowed_assets(ops, variables, temps), config.explicit_columns)
+        more = evidence.evidenced(generate(units)).select("file", (F.col("pos") + 100_000).cast("int").alias("pos"), "stmt")
+        base = base.unionByName(more)
+    done = evidence.finished(base, config)
+    if repair is not None:
+        done, bad = repaired(done, evidence, config, repair)
+    else:
+        bad = staged(evidence.judged(done, config), "violations")
     return Result(ops, resolve.units_with_ops(units, ops), contract, done, bad, validate.verdicts(done, bad), parity.edges(done), extract.rejects(found))
 
 
-def best_of(candidates: DataFrame, contract: DataFrame, violations_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Of several attempts at a file (attempt, file, pos, stmt), the statements of the best.
-
-    Valid ones first, then by what of the contract they cover, fewer violations, earlier attempt.
+def repaired(done: DataFrame, evidence: Evidence, config: Config, repair: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(statements, violations) after up to config.max_repairs further attempts at the files that have violations."""
+    bad = staged(evidence.judged(done, config), "violations")
+    attempts = {1: done}
+    for attempt in range(2, config.max_repairs + 2):
+        if bad.isEmpty():
+            break
+        failing = bad.select("file").distinct()  # fewer from attempt to attempt
+        recovery = S.synthesized(evidence.contract.join(failing, "file", "left_semi")).select("file", F.col("op_no").alias("pos"), "stmt")
+        asked = resolve.repair_requests(done.join(failing, "file", "left_semi"), bad)
+        given = staged(evidence.evidenced(repair(asked)).select("file", "pos", "stmt").join(failing, "file", "left_semi"), "repairs")
+        base = given.unionByName(recovery.join(given.select("file").distinct(), "file", "left_anti"))
+        attempts[attempt] = evidence.finished(base, config).join(failing, "file", "left_semi")
+        kept = best_of({n: a.join(failing, "file", "left_semi") for n, a in attempts.items()}, evidence.contract, lambda s: evidence.judged(s, config))
+        done = staged(done.join(failing, "file", "left_anti").unionByName(kept.select("file", "pos", "stmt")), "statements")
+        bad = staged(evidence.judged(done, config), "violations")
+    return done, bad
+
+
+def attempt_scores(statements: DataFrame, contract: DataFrame, bad: DataFrame) -> DataFrame:
+    """(file, target_hits, covered, bad): what a file's statements cover of the contract, and how many violations they have."""
+    counted = bad.groupBy("file").agg(F.count("*").alias("bad"))
+    score = S.contract_score(contract, S.write_coverage(statements))
+    return statements.select("file").distinct().join(score, "file", "left").join(counted, "file", "left").na.fill(0, ["target_hits", "covered", "bad"])
+
+
+def best_of(attempts: Mapping[int, DataFrame], contract: DataFrame, violations_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(file, attempt, pos, stmt): of several attempts (file, pos, stmt) by number, the statements of the one that is kept for each file.
+
+    Attempts are gone through in order. The next one is taken if it is valid and the kept
+    one is not, if it covers more (targets written, then contracts covered) without more
+    violations, or if it covers the same with fewer. A file without statements in an
+    attempt is not in it.
     """
-    keyed = candidates.withColumn("__file", F.col("file")).withColumn("file", F.concat_ws("\0", "attempt", "file"))
-    tries = keyed.select("attempt", "__file", "file").distinct()
-    wanted = contract.withColumnRenamed("file", "__file").join(tries, "__file").drop("__file", "attempt")
-    score = S.contract_score(wanted, S.write_coverage(keyed))
-    bad = violations_of(keyed.select("file", "pos", "stmt")).groupBy("file").agg(F.count("*").alias("bad"))
-    rated = tries.join(score, "file", "left").join(bad, "file", "left").na.fill(0, ["bad", "target_hits", "covered"])
-    rank = F.struct((F.col("bad") == 0).alias("ok"), "covered", "target_hits", -F.col("bad"), -F.col("attempt"))
-    best = rated.groupBy("__file").agg(F.max_by("attempt", rank).alias("attempt"))
-    return keyed.join(best, ["__file", "attempt"], "left_semi").select(F.col("__file").alias("file"), "attempt", "pos", "stmt")
+    rows, scores = [], []
+    for number, statements in sorted(attempts.items()):
+        rows.append(statements.select("file", F.lit(number).alias("attempt"), "pos", "stmt"))
+        scores.append(attempt_scores(statements, contract, violations_of(statements)).withColumn("attempt", F.lit(number)))
+    tried = reduce(DataFrame.unionByName, scores)
+    entry = F.struct("attempt", F.struct("target_hits", "covered").alias("score"), "bad")
+    listed = tried.groupBy("file").agg(F.array_sort(F.collect_list(entry)).alias("tries"))
+
+    def taken(kept: Column, new: Column) -> Column:
+        valid = (new["bad"] == 0) & (kept["bad"] > 0)
+        more = (new["score"] > kept["score"]) & (new["bad"] <= kept["bad"])
+        cleaner = (new["score"] == kept["score"]) & (new["bad"] < kept["bad"])
+        return F.when(valid | more | cleaner, new).otherwise(kept)
+
+    best = listed.select("file", F.aggregate("tries", F.col("tries")[0], taken)["attempt"].alias("attempt"))
+    return reduce(DataFrame.unionByName, rows).join(best, ["file", "attempt"], "left_semi")
 
 
 def parse(spark: SparkSession, code: str, name: str = "script", config: Config = Config()) -> dict:

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from tributary.functions import scan
 from tributary.functions import text as T
+from tributary.operators import resolve
 from tributary.operators import statements as S
 from tributary.operators import syntax
+from tributary.staging import staged
 
 PROFILES = ("strict", "baseline_parity", "visual_parity", "baseline_sql_parity")
 
@@ -40,18 +42,16 @@ def comply(
     visual_parity strips PARTITION clauses. All drop writes that do not read as whole.
     """
     profile = profile_of(profile)
-    none = F.array().cast("array<struct<name:string,value:string>>")
-    filled = statements.join(variables, "file", "left").select("file", "pos", T.substitute(F.col("stmt"), F.coalesce("vars", none)).alias("stmt"))
+    filled = resolve.with_values(statements.select("file", "pos", "stmt"), variables)
     clean = S.without_noops(filled)
     if profile == "baseline_sql_parity":
         return syntax.valid_writes(rewrite(clean))
     kept = clean.where(T.is_strict_write(F.col("stmt")))
     fixed = rewrite(kept, T.strip_comments, T.tidy_partition, T.space_partition_by, T.close_subquery, T.collapse_join_wrapper, T.cut_where_on_temp)
-    views = temps.groupBy("file").agg(F.collect_set("asset").alias("temps"))
-    named = fixed.join(views, "file", "left").select("file", "pos", T.canonical_temps(F.col("stmt"), F.coalesce("temps", F.array().cast("array<string>"))).alias("stmt"))
-    # the twins below read this several times
+    named = S.with_temp_names(fixed, temps)
     whole = S.updates_as_inserts(S.with_known_columns(named, known), known)
-    unique = S.dedupe_first(S.dedupe_best(whole)).persist()
+    # a staged table, since the twins below read it several times
+    unique = staged(S.dedupe_first(S.dedupe_best(whole)), "unique")
     if profile == "strict":
         unique = unique.withColumn("stmt", scan.strip_where_udf("stmt"))
     if profile == "baseline_parity":

@@ -542,9 +542,12 @@ def update_lineage_all(spark, sf_dir):
     return S.updates_as_inserts(_base(spark, sf_dir), S.known_insert_columns(corpus.operations(spark, sf_dir)))
 
 
-@query("balanced_parentheses", f"""{_WITH} SELECT pos, len(regexp_extract_all(stmt, '\\(')) = len(regexp_extract_all(stmt, '\\)')) AS balanced FROM statements""")
+@query("balanced_parentheses", f"""SELECT {corpus.POS} AS pos, c_custkey % 4 IN (0, 3) AS balanced FROM customer""")
 def balanced_parentheses(spark, sf_dir):
-    return _base(spark, sf_dir).select("pos", scan.balanced_udf("stmt").alias("balanced"))
+    """A fourth of the statements lacks a closing parenthesis, a fourth an opening one, and a fourth has one more in a literal."""
+    extra = F.when(F.col("pos") % 4 == 1, " WHERE (a = 1").when(F.col("pos") % 4 == 2, " WHERE a) = (1").when(F.col("pos") % 4 == 3, " WHERE a = '(' -- )").otherwise("")
+    bare = F.regexp_replace("stmt", r"\s*;.*$", "")
+    return _base(spark, sf_dir).select("pos", scan.balanced_udf(F.concat(bare, extra)).alias("balanced"))
 
 
 @query("parity_accept", f"""{_PARITY}, changed AS (SELECT file, pos, replace(stmt, 'mart.r', 'lake.r') AS stmt FROM statements), touched AS (SELECT DISTINCT file FROM changed WHERE regexp_matches(stmt, '(?i)\\bINSERT\\s+INTO\\s+lake'))
@@ -556,14 +559,26 @@ def parity_accept(spark, sf_dir):
     return parity.accept_if_no_worse(before, after, before.where("CAST(substr(file, 2) AS INT) % 4 <> 3"))
 
 
-@query("best_attempt", f"""{_WITH} SELECT file, 1 AS attempt, pos, stmt FROM statements""")
+_FILE_NO = "CAST(substr(file, 2) AS INT)"
+
+
+@query("best_attempt", f"""{_WITH} SELECT file, CAST({_FILE_NO} % 3 + 1 AS INT) AS attempt, pos, stmt FROM statements WHERE {_FILE_NO} % 3 <> 2 OR pos % 8 <> 3""")
 def best_attempt(spark, sf_dir):
-    """Three attempts at each file, the first whole, the others with a third of the statements missing or cut off."""
-    base = _base(spark, sf_dir)
-    cut = base.withColumn("stmt", F.when(F.col("pos") % 3 == 0, F.lit("oops")).otherwise(F.col("stmt")))
-    tries = base.where("pos % 3 <> 1").withColumn("attempt", F.lit(2)).unionByName(base.withColumn("attempt", F.lit(1))).unionByName(cut.withColumn("attempt", F.lit(3)))
+    """Three attempts at each file, of which another one is kept in each third of the files.
+
+    A broken statement is a violation. The first third is whole at once; the second is
+    broken at first and whole then, and its third attempt covers less; the last is twice
+    as broken at first, then broken, then without the updates, but valid.
+    """
+    base, third = _base(spark, sf_dir), F.expr(f"{_FILE_NO} % 3")
+    broken = lambda when: base.withColumn("stmt", F.when(when, F.lit("oops")).otherwise(F.col("stmt")))
+    attempts = {
+        1: broken(((third == 1) & (F.col("pos") % 8 == 0)) | ((third == 2) & (F.col("pos") % 4 == 0))),
+        2: broken(((third == 0) & (F.col("pos") % 8 == 1)) | ((third == 2) & (F.col("pos") % 8 == 4))),
+        3: base.where(F.col("pos") % 8 != 3),
+    }
     contract = S.write_contract(corpus.operations(spark, sf_dir), corpus.temps(corpus.operations(spark, sf_dir)))
-    return best_of(tries, contract, lambda s: validate.statement_violations(s, explicit_columns=False).where("rule <> 'not_terminated'"))
+    return best_of(attempts, contract, lambda s: validate.statement_violations(s, explicit_columns=False).where("rule <> 'not_terminated'"))
 
 
 def _as_text(function, column: str):
