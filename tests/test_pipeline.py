@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from tributary.errors import GenerationFailed, InvalidScripts
 from tributary.operators import parity, resolve
 from tributary.operators import statements as S
 from tributary.plans import pipeline, script_queries
@@ -116,3 +117,13 @@ def test_golden_cases_end_to_end(spark, tmp_path):
     summary = parity.golden_summary(results)
     assert (summary.first().pass_rate, summary.first().micro_f1) == (75.0, 1.0)
     assert parity.release_gate(result.verdicts, summary).first() is not None
+
+
+def test_typed_errors(spark):
+    def broken(units):
+        raise OSError("no answer")
+
+    with pytest.raises(GenerationFailed, match="no answer"):
+        run(spark, {"f": SCRIPT}, generate=broken)
+    with pytest.raises(InvalidScripts, match="cut: select_star"):
+        run(spark, {"cut": CUT}, config=pipeline.Config(raise_invalid=True))

@@ -192,11 +192,6 @@ def strip_comments(stmt: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(stmt, r"(?m)--.*$", ""), r"(?s)/\*.*?\*/", "")
 
 
-def parseable(sql: Column) -> Column:
-    """{VAR} as VAR and no trailing semicolon, for a SQL parser."""
-    return F.rtrim(F.trim(F.regexp_replace(sql, r"\{([A-Za-z_]\w*)\}", "$1")), F.lit(";"))
-
-
 def cut_to_write(stmt: Column) -> Column:
     """From the first INSERT INTO, UPDATE or MERGE INTO on; unchanged without one."""
     cut = F.regexp_extract(stmt, r"(?is)((?:INSERT INTO|UPDATE |MERGE INTO).*)", 1)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tributary.functions import scan
@@ -130,10 +132,21 @@ def release_gate(verdicts: DataFrame, summary: DataFrame, min_pass_rate: float =
     )  # both sides are one-row aggregates
 
 
+def _counters() -> list[F.Column]:
+    return [
+        F.count(F.lit(1)).alias("requests"), F.count_if("ok").alias("success"), F.count_if(~F.col("ok")).alias("failed"),
+        F.count_if(~F.col("valid")).alias("validation_failures"), F.round(F.avg("latency_ms"), 4).alias("avg_latency_ms"),
+    ]
+
+
 def run_counters(runs: DataFrame, by: str | None = None) -> DataFrame:
     """Requests, successes, failures, validation failures and mean latency of a (ok, valid, latency_ms) log."""
     grouped = runs.groupBy(by) if by else runs.groupBy()
-    return grouped.agg(
-        F.count("*").alias("requests"), F.count_if("ok").alias("success"), F.count_if(~F.col("ok")).alias("failed"),
-        F.count_if(~F.col("valid")).alias("validation_failures"), F.round(F.avg("latency_ms"), 4).alias("avg_latency_ms"),
-    )
+    return grouped.agg(*_counters())
+
+
+def counted_while(runs: DataFrame, action: Callable[[DataFrame], None]) -> dict[str, int | float | None]:
+    """The counters of run_counters, observed while `action` writes the log: no second scan."""
+    seen = Observation("counters")
+    action(runs.observe(seen, *_counters()))
+    return seen.get

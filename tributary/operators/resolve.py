@@ -23,17 +23,33 @@ def line_chunks(scripts: DataFrame, size: int = 140, overlap: int = 25, id_col:
     )
 
 
-def units_with_ops(units: DataFrame, ops: DataFrame, id_col: str = "file") -> DataFrame:
+def _binned(rows: DataFrame, start: Column, end: Column, lines: int) -> DataFrame:
+    """rows once for each bin of lines that they touch."""
+    low, high = F.floor(start / lines), F.floor(F.greatest(start, end) / lines)
+    return rows.withColumn("__low", low).withColumn("__bin", F.explode(F.sequence(low, high)))
+
+
+def overlap_candidates(units: DataFrame, ops: DataFrame, id_col: str = "file", bin_lines: int = 140) -> DataFrame:
+    """Units and operations that touch a common bin of lines, each pair once for each such bin."""
+    u = _binned(units.select(id_col, "chunk_no", "start_line", "end_line"), F.col("start_line"), F.col("end_line"), bin_lines)
+    spans = ops.select(F.col(id_col), F.col("start_line").alias("o_start"), F.col("end_line").alias("o_end"), "op_no", "op_id")
+    o = _binned(spans, F.col("o_start"), F.col("o_end"), bin_lines).withColumnRenamed("__low", "__o_low")
+    return u.join(o, [id_col, "__bin"])
+
+
+def units_with_ops(units: DataFrame, ops: DataFrame, id_col: str = "file", bin_lines: int = 140) -> DataFrame:
     """Units with the ids of operations whose lines overlap theirs, in order.
 
-    The equi-join on the file carries the overlap as its condition, so nothing
-    larger than a file's own pairs is formed.
+    An interval join by bins: units and operations meet on file and bin, so candidates
+    grow with the overlaps and not with a file's units times its operations, and a long
+    file is spread over many tasks. A pair counts in the first bin that both touch.
     """
-    spans = ops.select(F.col(id_col).alias("o_file"), F.col("start_line").alias("o_start"), F.col("end_line").alias("o_end"), "op_no", "op_id")
-    meet = (units[id_col] == spans["o_file"]) & (spans["o_start"] <= units["end_line"]) & (spans["o_end"] >= units["start_line"])
-    return units.join(spans, meet, "left").groupBy(id_col, "chunk_no", "start_line", "end_line").agg(
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("op_id").isNotNull(), F.struct("op_no", "op_id")))), lambda x: x["op_id"]).alias("op_ids")
-    )
+    first = F.col("__bin") == F.greatest("__low", "__o_low")
+    meet = (F.col("o_start") <= F.col("end_line")) & (F.col("o_end") >= F.col("start_line"))
+    pairs = overlap_candidates(units, ops, id_col, bin_lines).where(first & meet)
+    listed = pairs.groupBy(id_col, "chunk_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("op_no", "op_id"))), lambda x: x["op_id"]).alias("op_ids"))
+    plain = units.select(id_col, "chunk_no", "start_line", "end_line")
+    return plain.join(listed, [id_col, "chunk_no"], "left").withColumn("op_ids", F.coalesce("op_ids", F.array().cast("array<string>")))
 
 
 def variable_arrays(variables: DataFrame) -> DataFrame:

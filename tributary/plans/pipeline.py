@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.errors import LimitExceeded
+from tributary.errors import GenerationFailed, InvalidScripts, LimitExceeded
 from tributary.functions import text as T
 from tributary.operators import extract, parity, resolve, validate
 from tributary.operators import statements as S
@@ -33,11 +33,12 @@ class Config:
     max_bytes: int = 1 << 20
     explicit_columns: bool = True
     max_repairs: int = 1
+    raise_invalid: bool = False
 
     @classmethod
     def of(cls, settings: dict[str, str]) -> Config:
         """From text settings such as environment variables; unknown profiles are strict."""
-        kinds = {"chunk_lines": int, "overlap_lines": int, "max_files": int, "max_bytes": int, "max_repairs": int, "explicit_columns": lambda v: v.lower() in ("1", "true", "yes")}
+        kinds = {"chunk_lines": int, "overlap_lines": int, "max_files": int, "max_bytes": int, "max_repairs": int, **dict.fromkeys(("explicit_columns", "raise_invalid"), lambda v: v.lower() in ("1", "true", "yes"))}
         given = {k: kinds[k](v) for k, v in settings.items() if k in kinds}
         return cls(profile=profile_of(settings.get("profile")), **given)
 
@@ -116,7 +117,9 @@ def run(
     files with violations are tried again up to config.max_repairs times: it gets (file,
     script, errors, prompt) and gives statements (file, pos, stmt); where it gives none,
     the contract's own statements are the attempt. A file keeps its best attempt. Without
-    one there is nothing new to try: what the contract lacks was added at once.
+    one there is nothing new to try: what the contract lacks was added at once. A
+    generator that fails raises GenerationFailed; with config.raise_invalid a violation
+    that is left raises InvalidScripts.
     """
     found = staged(extract.extract(scripts), "found")  # one parse of the scripts feeds every table below
     evidence = Evidence.of(found)
@@ -124,13 +127,20 @@ def run(
     units = resolve.prompts(resolve.line_chunks(scripts, config.chunk_lines, config.overlap_lines))
     base = S.evidence_statements(ops).select("file", F.col("op_no").alias("pos"), "stmt")
     if generate is not None:
-        more = evidence.evidenced(generate(units)).select("file", (F.col("pos") + 100_000).cast("int").alias("pos"), "stmt")
+        try:
+            made = generate(units)
+        except Exception as reason:
+            raise GenerationFailed(str(reason)) from reason
+        more = evidence.evidenced(made).select("file", (F.col("pos") + 100_000).cast("int").alias("pos"), "stmt")
         base = base.unionByName(more)
     done = evidence.finished(base, config)
     if repair is not None:
         done, bad = repaired(done, evidence, config, repair)
     else:
         bad = staged(evidence.judged(done, config), "violations")
+    if config.raise_invalid and not bad.isEmpty():
+        first = bad.orderBy("file", "pos", "rule", "detail").first()
+        raise InvalidScripts(f"{first.file}: {first.rule} {first.detail}".strip())
     return Result(ops, resolve.units_with_ops(units, ops), contract, done, bad, validate.verdicts(done, bad), parity.edges(done), extract.rejects(found))
 
 

@@ -23,11 +23,16 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """df written to the shared folder and read back; deleted when the driver ends, or by `drop_staged`."""
-    spark = df.sparkSession
+def staged_path(spark: SparkSession, label: str) -> str:
+    """A fresh path in the shared folder; what is written there is deleted when the driver ends."""
     path = f"{shared_folder(spark)}/tributary-{label}-{uuid.uuid4().hex}"
     atexit.register(_delete, spark, path)
+    return path
+
+
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """df written to the shared folder and read back; deleted when the driver ends, or by `drop_staged`."""
+    spark, path = df.sparkSession, staged_path(df.sparkSession, label)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
