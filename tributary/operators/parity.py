@@ -50,8 +50,9 @@ def accept_if_no_worse(before: DataFrame, after: DataFrame, baseline: DataFrame)
 
 
 def edges(statements: DataFrame) -> DataFrame:
-    """Distinct (file, target, target_col, source_col)."""
-    return syntax.column_edges(syntax.read(statements)).select("file", "target", "target_col", "source_col").distinct()
+    """Distinct (file, target, target_col, source_col) of inserts and updates; what a merge assigns is in syntax.column_edges alone."""
+    reading = syntax.read(statements).where("read.kind IN ('insert', 'update')")
+    return syntax.column_edges(reading).select("file", "target", "target_col", "source_col").distinct()
 
 
 def edge_text(edge_rows: DataFrame) -> DataFrame:
