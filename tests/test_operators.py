@@ -1,5 +1,7 @@
 """Set operators, extraction, validation, parity, marts and the pipeline on hand-made rows."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -161,3 +163,12 @@ def test_insert_by_position_and_limits(spark):
     with pytest.raises(LimitExceeded):
         pipeline.parse_batch(spark, {"a": "x = 1"}, pipeline.Config.of_environment({"TRIBUTARY_MAX_FILES": "0", "HOME": "/"}))
 
+
+def test_words_are_not_gathered_before_they_meet_variables(spark):
+    """What a task holds of a statement's words does not grow with its statements; equal statements are filled in alike."""
+    held = spark.createDataFrame([("f", 1, "SELECT {DT} FROM DT"), ("f", 1, "SELECT {DT} FROM DT"), ("f", 2, "SELECT x"), ("g", 1, "SELECT DT")], "file string, pos int, stmt string")
+    values = spark.createDataFrame([("f", [("DT", "d1")])], "file string, vars array<struct<name:string,value:string>>")
+    filled = resolve.with_values(held, values)
+    assert sorted(r.stmt for r in filled.collect()) == ["SELECT DT", "SELECT d1 FROM d1", "SELECT d1 FROM d1", "SELECT x"]
+    plan = filled._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"Aggregate \[file#\d+, __row#\d+L?, __word#\d+\]", plan)

@@ -96,8 +96,9 @@ def _filled_in(rows: DataFrame, values: DataFrame, keys: list[str], column: str)
     known = values.select("file", F.col("name").alias("__word"), F.col("value").alias("__value"), F.col("ord").alias("__ord"))
     numbered = rows.withColumn("__row", F.xxhash64(*keys, column))
     words = F.explode(F.array_distinct(F.regexp_extract_all(column, F.lit(r"\w+"), F.lit(0)))).alias("__word")
-    met = numbered.select("file", "__row", words).distinct().join(known, ["file", "__word"])
-    listed = met.groupBy("file", "__row").agg(F.array_sort(F.collect_list(F.struct("__ord", "__word", "__value"))).alias("__used"))
+    # equal rows have one number, so their words are made one after the join, where few are left
+    met = numbered.select("file", "__row", words).join(known, ["file", "__word"])
+    listed = met.groupBy("file", "__row").agg(F.array_sort(F.collect_set(F.struct("__ord", "__word", "__value"))).alias("__used"))
     pairs = F.transform("__used", lambda u: F.struct(u["__word"].alias("name"), u["__value"].alias("value")))
     both = numbered.join(listed, ["file", "__row"], "left")
     return both.withColumn(column, F.when(F.col("__used").isNull(), F.col(column)).otherwise(T.substitute(F.col(column), pairs))).drop("__row", "__used")
