@@ -1,5 +1,9 @@
 """Following scripts: chains, calls, loops, sinks."""
 
+import ast
+
+from pyspark.sql import functions as F
+
 from tributary.functions import flow
 from tributary.operators import dataflow
 
@@ -95,3 +99,18 @@ def test_sinks_without_what_they_need(spark):
     code = "d = spark.table('s')\nd.write.format('kafka').save()\nd.write.format('neo4j').option('labels', '::A: B :').save()\nd.write.format('odd').save('p.q')\n"
     got = {tuple(r) for r in dataflow.assets(made(spark, code)).where("access = 'write'").select("kind", "asset").collect()}
     assert got == {("topic", ""), ("label", "A"), ("label", "B"), ("path", "p.q")}
+
+
+def test_scripts_are_dealt_and_followed_once(spark):
+    """One input partition does not make one task of all scripts, and what is read of flows does not follow them again."""
+    one = spark.createDataFrame([(f"f{i}", f"spark.table('t{i}').write.saveAsTable('u{i}')") for i in range(64)], "file string, code string").coalesce(1)
+    flows = dataflow.follow(one)
+    assert flows.select(F.input_file_name()).distinct().count() > 1
+    for made in (dataflow.statements(flows), dataflow.assets(flows), dataflow.other_calls(flows)):
+        assert "MapIn" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_functions_are_found_in_the_order_of_a_walk():
+    code = "def a():\n  def b(): pass\nclass C:\n  def d(self): pass\ntry:\n  pass\nexcept E:\n  def e(): pass\nelse:\n  async def g(): pass\nmatch x:\n  case 1:\n    def h(): pass\n  case _:\n    if y:\n      def i(): pass\n    else:\n      def j(): pass\nwith k:\n  def l(): pass\nfor m in n:\n  def o(): pass\n"
+    tree = ast.parse(code)
+    assert flow.defined(tree) == [n for n in ast.walk(tree) if isinstance(n, ast.FunctionDef | ast.AsyncFunctionDef)]

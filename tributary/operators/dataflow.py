@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,11 +16,20 @@ from pyspark.sql import functions as F
 from tributary.functions import flow
 from tributary.functions import text as T
 from tributary.operators import statements as S
+from tributary.staging import staged
 
 FLOW = (
     "file string, step int, what string, line int, scope string, loop string, name string, method string, format string, "
     "options map<string,string>, args array<string>, inputs array<int>, sql string, cte string, uses array<int>"
 )
+_ARROW = pa.schema(
+    [("file", pa.string()), ("step", pa.int32()), ("what", pa.string()), ("line", pa.int32())]
+    + [(name, pa.string()) for name in ("scope", "loop", "name", "method", "format")]
+    + [("options", pa.map_(pa.string(), pa.string())), ("args", pa.list_(pa.string())), ("inputs", pa.list_(pa.int32())), ("sql", pa.string()), ("cte", pa.string()), ("uses", pa.list_(pa.int32()))]
+)
+#: Scripts whose rows make one batch; parts of the scripts for each core, so that slow ones even out.
+SCRIPTS = 1_000
+PARTS = 4
 # Where a sink's asset and columns stand, by format.
 SINKS = (
     ("kafka", "topic", "", "topic"), ("org.neo4j.spark.DataSource", "labels", "node.keys", "label"), ("neo4j", "labels", "node.keys", "label"),
@@ -42,19 +51,27 @@ def follow(scripts: DataFrame) -> DataFrame:
     A null script is an empty one. A script that does not parse, a recursion, a loop over
     more than 31 elements or over something unknown (followed once, its variable a
     placeholder) and a script of too many steps give reject rows and do not stop others.
+    Scripts are dealt over all cores, since a small file of theirs is much work, and
+    followed once, into a staged table.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple] = []
-            for file, code in zip(batch["file"], batch["code"], strict=True):
-                try:
-                    rows += [(file, *r) for r in flow.follow(code or "")]
-                except (SyntaxError, ValueError, RecursionError) as reason:
-                    rows.append((file, 0, "reject", 0, "", "", "syntax", "", "", {}, [], [], f"{type(reason).__name__}: {reason}", "", []))
-            yield pd.DataFrame(rows, columns=["file", *flow.STEP])
-
-    return scripts.select("file", "code").mapInPandas(run, FLOW)
+            for start in range(0, batch.num_rows, SCRIPTS):
+                files, codes = (column.to_pylist() for column in batch.slice(start, SCRIPTS).columns)
+                rows: list[tuple] = []
+                for file, code in zip(files, codes, strict=True):
+                    try:
+                        rows += [(file, *r) for r in flow.follow(code or "")]
+                    except (SyntaxError, ValueError, RecursionError) as reason:
+                        rows.append((file, 0, "reject", 0, "", "", "syntax", "", "", {}, [], [], f"{type(reason).__name__}: {reason}", "", []))
+                columns = list(zip(*rows, strict=True)) or [()] * len(_ARROW)
+                columns[9] = [list(options.items()) for options in columns[9]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW, strict=True)], schema=_ARROW)
+
+    parts = PARTS * scripts.sparkSession.sparkContext.defaultParallelism
+    dealt = scripts.select("file", F.col("code").cast("string").alias("code")).repartition(parts, "file")
+    return staged(dealt.mapInArrow(run, FLOW), "flows")
 
 
 def rejects(flows: DataFrame) -> DataFrame:
@@ -121,9 +138,10 @@ def statements(flows: DataFrame) -> DataFrame:
     own = embedded(flows).where("stmt IS NOT NULL").select("file", F.col("step").alias("pos"), "stmt", "line", "scope", "loop")
     views = assets(flows).where("kind = 'view'").select("file", "asset").distinct()
     every = made.unionByName(own).withColumnRenamed("pos", "step")
-    placed = every.withColumn("pos", F.row_number().over(W.partitionBy("file").orderBy("step", "stmt")))
-    named = S.with_temp_names(placed.select("file", "pos", "stmt"), views)
-    return placed.drop("stmt").join(named, ["file", "pos"]).select("file", F.col("step").alias("pos"), "stmt", "line", "scope", "loop")
+    placed = staged(every.withColumn("pos", F.row_number().over(W.partitionBy("file").orderBy("step", "stmt"))), "placed")
+    viewing = placed.join(views.select("file").distinct(), "file", "left_semi")  # only these can name a view
+    named = S.with_temp_names(viewing.select("file", "pos", "stmt"), views).withColumnRenamed("stmt", "named")
+    return placed.join(named, ["file", "pos"], "left").select("file", F.col("step").alias("pos"), F.coalesce("named", "stmt").alias("stmt"), "line", "scope", "loop")
 
 
 def assets(flows: DataFrame) -> DataFrame:
