@@ -1,7 +1,9 @@
 """Reading statements: defects, trees, edges through nesting."""
 
+import pyarrow as pa
 import pytest
 
+from tributary.functions import clauses
 from tributary.functions.clauses import CLAUSE, read
 from tributary.operators import syntax
 from tributary.plans.syntax_queries import BROKEN
@@ -67,3 +69,13 @@ def test_edges_through_nesting(spark):
     assert syntax.physical_edges(frame(spark, deep), levels=1).where("source IS NULL").count() == 1
     edges = {tuple(r)[2:5] for r in syntax.column_edges(frame(spark, "INSERT INTO tgt SELECT s.a AS a1, s.b + 1 AS b1, 'k' AS c FROM src s UNION ALL SELECT u.x, u.y, u.z FROM u;", "SELECT 1")).collect()}
     assert edges == {("tgt", "a1", "s.a"), ("tgt", "b1", "s.b"), ("tgt", "c", "<derived>"), ("tgt", "a1", "u.x"), ("tgt", "b1", "u.y"), ("tgt", "c", "u.z")}
+
+
+def test_equal_statements_are_read_and_made_into_rows_once():
+    """A batch of one statement costs one statement; null, broken and whole ones keep their places."""
+    whole, broken = "INSERT INTO t SELECT a FROM s;", "INSERT INTO t SELECT a, FROM s;"
+    got = clauses.parsed.func(pa.array([whole, None, broken, whole] * 1000)).to_pylist()
+    assert len(got) == 4000 and got[0] == got[3] == got[3999] and got[1] == dict.fromkeys(("kind", "rule", "near", "clauses"))
+    assert [tuple(c.values()) for c in got[0]["clauses"]] == clauses.read(whole)[3]
+    assert got[2]["rule"] == "trailing_comma" and [tuple(c.values()) for c in got[2]["clauses"]] == clauses.read(broken)[3]
+
