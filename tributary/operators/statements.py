@@ -297,6 +297,9 @@ def column_spellings(ops: DataFrame) -> DataFrame:
 #: Literals, quoted paths, placeholders, dotted names, and single other characters.
 _PIECES = r"""'[^']*+'|"[^"]*+"|\{[^{}]*+\}|[#@]?\w++(?:\.[#@]?\w++)*+|[\s\S]"""
 
+#: The same pieces; names, quoted paths and what starts like them as group 1.
+_NAMED = r"""'[^']*+'|\{[^{}]*+\}|("[^"]*+"|[#@]?\w++(?:\.[#@]?\w++)*+|["#@])|[\s\S]"""
+
 
 def _dotted(piece: Column) -> tuple[Column, Column, Column]:
     """Lower case: a name (without the quotes of a path), what is before its last dot, and what is after it."""
@@ -312,7 +315,7 @@ def renamed(statements: DataFrame, dictionary: DataFrame, after_dot: bool = True
     dictionary holds besides; a name that is not a key may hold one before its last dot,
     and where `after_dot`, one after it. Literals in single quotes stay. A null statement stays null.
     """
-    names = F.array_distinct(F.filter(F.regexp_extract_all("stmt", F.lit(_PIECES), F.lit(0)), lambda p: p.rlike(r'^["#@\w]')))
+    names = F.array_remove(F.array_distinct(F.regexp_extract_all("stmt", F.lit(_NAMED), F.lit(1))), "")
     keys = F.array_distinct(F.filter(F.flatten(F.transform(names, lambda p: F.array(*_dotted(p)))), lambda k: k != ""))
     wanted = statements.select("file", "pos", F.explode(keys).alias("key"))
     entry = F.struct("key", "name")
