@@ -3,6 +3,7 @@
 import collections
 import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tributary.llm import components, jaccard_join, line_dedup, lm_scoring, mixing, toxicity
+from tributary.llm import common, components, jaccard_join, line_dedup, lm_scoring, mixing, toxicity
 
 
 def words(text):
@@ -167,6 +168,35 @@ def test_short_links_are_kept(spark):
     assert [i for i in range(3000) if found[2 * i + 1] != 2 * i] == []
 
 
+def _shuffle_files(spark) -> int:
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return sum(files.apply(i).getName().startswith("shuffle_") for i in range(files.size()))
+
+
+def test_materialize_keeps_no_shuffle_files(spark):
+    before = _shuffle_files(spark)
+    made = common.materialize(spark.range(1000).groupBy(F.col("id") % 7).count(), "few")
+    for _ in range(50):  # executors delete in the background
+        if _shuffle_files(spark) <= before:
+            break
+        time.sleep(0.1)
+    assert _shuffle_files(spark) <= before
+    assert made.count() == 7 and spark.conf.get(common.DROP_SHUFFLES) == "false"
+
+
+def test_jaccard_keeps_only_what_its_result_reads(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "scratch_root", lambda _: f"file://{tmp_path}")
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words[i : i + 60]) for i in range(0, 300, 3)] + [" ".join(words[:60])] * 5
+    rows = [*enumerate(texts), (3, texts[3]), (3, "another text of one id")]
+    found = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    left = {p.name.split("-")[2] for p in tmp_path.iterdir() if p.name.startswith("tributary-jaccard-")}
+    assert left == {"classes", "nodes"}
+    got = found.collect()
+    assert len(got) == len(rows) and {r.component_id for r in got if r.doc_id < 100} == {0, 3}
+    assert sum(r.class_size for r in got if r.doc_id == 3) == 2 + 2 + 1
+
+
 def test_blocks_agree(spark):
     rng = np.random.default_rng(3)
     left = [np.unique(rng.integers(0, 300, 80)).astype(np.uint64) for _ in range(20)]
