@@ -4,6 +4,7 @@ import collections
 import math
 import re
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -307,6 +308,29 @@ def test_nearest_of_many_is_exact_at_any_batch(monkeypatch):
             assert got[i][0].tolist() == wanted and np.allclose(got[i][1], scores[wanted])
 
 
+def test_search_needs_little_memory_and_keeps_close_neighbours_apart():
+    rng = np.random.default_rng(12)
+    # examples whose cosines differ in the ninth digit: 32 bits alone cannot order them
+    base = rng.random(60) + 0.5
+    pairs = [(np.arange(60), (v := base * (1 + 1e-7 * rng.random(60))) / np.linalg.norm(v)) for _ in range(3000)]
+    index = toxicity.ExampleIndex.of(pairs, np.zeros(3000), np.ones(3000), np.arange(3000), 60)
+    query = np.ones(60) / np.sqrt(60)
+    cosines = np.round(np.array([query @ v for _, v in pairs]), 12)
+    found, _ = index.nearest(np.arange(60), query, 5)
+    assert found.tolist() == np.lexsort((np.arange(3000), -cosines))[:5].tolist()
+    # every term is in a list: 192 texts of 300 terms meet 8.6 million postings
+    rare = [(np.sort(rng.choice(3000, 150, replace=False)), rng.random(150) + 0.1) for _ in range(3000)]
+    index = toxicity.ExampleIndex.of(rare, np.zeros(3000), np.ones(3000), np.arange(3000), 3000)
+    asked = [np.sort(rng.choice(3000, 300, replace=False)) for _ in range(192)]
+    offsets, terms = np.arange(193) * 300, np.concatenate(asked)
+    index.dense
+    tracemalloc.start()
+    near = index.nearest_each(offsets, terms, np.ones(len(terms)), 4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(near) == 192 and peak < 60e6
+
+
 def test_term_counts_match_a_dictionary():
     texts = ["", "Dolt doltish, DOLTS dolt x", "é\tdolt", " ", "nothing here"]
     vocabulary = [b"dolt", b"^dolt", b"^dolti", b"x", "é".encode()]

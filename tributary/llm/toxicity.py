@@ -38,10 +38,11 @@ MAX_EXAMPLES = 2048
 MIN_TEXTS = 2
 STEMS = (4, 5, 6)
 #: A term that more than this share of the examples has is stored with a place for every example.
-DENSE = 1 / 16
+DENSE = 1 / 8
 #: Vectors and terms searched at a time, words and texts a task remembers: none changes a result.
-QUERIES = 96
-QUERY_TERMS = 48_000
+QUERIES = 192
+QUERY_TERMS = 96_000
+POSTINGS = 200_000
 FIRST = 8
 MAX_WORDS = 400_000
 MAX_SEEN = 20_000
@@ -125,7 +126,9 @@ class ExampleIndex:
 
     A term that a DENSE share of the examples has stores its postings as a row with
     a place for every example and knows its largest weight in each block; the
-    postings of other terms are lists.
+    postings of other terms are lists. Rows are multiplied as 32-bit numbers; the
+    examples that may be among the nearest, by the largest error that this can make,
+    are scored again with 64 bits.
     """
 
     labels: np.ndarray
@@ -144,18 +147,20 @@ class ExampleIndex:
         return cls(labels, weights, ids, np.searchsorted(terms[order], np.arange(n_terms + 1)), at[order], value[order])
 
     @cached_property
-    def dense(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row of each term or -1, weights by block, row and place, peaks by row and block); made where it is used, never sent."""
+    def dense(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(row of each term or -1, 32-bit weights by block, row and place, peaks by row and block, weights by example and row); made where it is used, never sent."""
         n = len(self.labels)
         runs = np.diff(self.offsets)
         common = np.flatnonzero(runs > DENSE * n)
         row = np.full(len(runs), -1)
         row[common] = np.arange(len(common))
-        weights = np.zeros((-(-n // BLOCK), len(common), BLOCK))
+        blocks = -(-n // BLOCK)
+        whole = np.zeros((blocks * BLOCK, len(common)))
         here = _ragged(self.offsets[common], runs[common])
-        block, place = np.divmod(self.at[here], BLOCK)
-        weights[block, np.repeat(row[common], runs[common]), place] = self.value[here]
-        return row, weights, np.ascontiguousarray(weights.max(axis=2).T)
+        whole[self.at[here], np.repeat(row[common], runs[common])] = self.value[here]
+        by_block = whole.reshape(blocks, BLOCK, len(common))
+        weights = np.ascontiguousarray(by_block.transpose(0, 2, 1), dtype=np.float32)
+        return row, weights, np.ascontiguousarray(by_block.max(axis=1).T), whole
 
     def nearest(self, terms: np.ndarray, values: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Examples and cosines of the k nearest, nearest first, ties to earlier examples; only positive cosines."""
@@ -178,40 +183,67 @@ class ExampleIndex:
         return out
 
     def _nearest(self, offsets: np.ndarray, terms: np.ndarray, values: np.ndarray, k: int, skip: np.ndarray | None) -> list[tuple[np.ndarray, np.ndarray]]:
-        dense_row, dense, peaks = self.dense
+        dense_row, dense, peaks, whole = self.dense
         n, blocks = len(offsets) - 1, len(dense)
         width = blocks * BLOCK
         owner = np.repeat(np.arange(n), np.diff(offsets))
         row = dense_row[terms]
         rare = row < 0
-        lo = self.offsets[terms[rare]]
-        runs = self.offsets[terms[rare] + 1] - lo
-        at = _ragged(lo, runs)
-        cell = np.repeat(owner[rare] * width, runs) + self.at[at]
-        scores = np.bincount(cell, weights=np.repeat(values[rare], runs) * self.value[at], minlength=n * width).astype(np.float64, copy=False).reshape(n, width)
+        listed = self._listed(owner[rare], terms[rare], values[rare], n, width)
+        scores = listed.copy()
         common = np.zeros((n, dense.shape[1]))
         common[owner[~rare], row[~rare]] = values[~rare]
+        short = common.astype(np.float32)
+        # no weight is negative: a sum of 32-bit products is off by this share of itself at most
+        off = (dense.shape[1] + 8) * 2.0**-24
         bounds = scores.reshape(n, blocks, BLOCK).max(axis=2) + common @ peaks
         first = np.argsort(-bounds, axis=1, kind="stable")[:, : -(-blocks // FIRST)]
         wanted = np.zeros((n, blocks), dtype=bool)
         wanted[np.arange(n)[:, None], first] = True
-        self._complete(scores, common, dense, wanted)
+        self._complete(scores, short, dense, wanted)
         left_out = None if skip is None else np.flatnonzero(skip >= 0)
         if left_out is not None:
             scores[left_out, skip[left_out]] = 0
         # scores of blocks not yet completed are low, so the k-th of all is a bound from below
         kth = np.partition(scores, width - k, axis=1)[:, width - k] if width > k else np.zeros(n)
-        self._complete(scores, common, dense, (bounds > 0) & (bounds >= kth[:, None] - 1e-12) & ~wanted)
+        kth = kth * (1 - off) - 1e-12
+        self._complete(scores, short, dense, (bounds > 0) & (bounds >= kth[:, None]) & ~wanted)
         if left_out is not None:
             scores[left_out, skip[left_out]] = 0
         out = []
-        for line in scores:
-            floor = np.partition(line, width - k)[width - k] if width > k else 0.0
-            found = np.flatnonzero((line >= floor - 2e-12) & (line > 0))
-            found = found[np.lexsort((found, -np.round(line[found], 12)))[:k]]
-            out.append((found, line[found]))
+        for line, low, exact, mine in zip(scores, kth * (1 - 2 * off), listed, common, strict=True):
+            found = np.flatnonzero((line >= low) & (line > 0))
+            if len(found) > k:
+                floor = np.partition(line[found], len(found) - k)[len(found) - k]
+                found = found[line[found] >= floor * (1 - 4 * off) - 2e-12]
+            sims = exact[found] + whole[found] @ mine
+            best = np.lexsort((found, -np.round(sims, 12)))[:k]
+            out.append((found[best], sims[best]))
         return out
 
+    def _listed(self, owner: np.ndarray, terms: np.ndarray, values: np.ndarray, n: int, width: int) -> np.ndarray:
+        """What lists add to every cosine, POSTINGS at a time: temporary arrays stay small."""
+        scores = np.zeros((n, width))
+        lo = self.offsets[terms]
+        runs = self.offsets[terms + 1] - lo
+        ends = np.cumsum(runs)
+        begin = 0
+        while begin < n:
+            first = int(np.searchsorted(owner, begin))
+            done = ends[first - 1] if first else 0
+            # whole vectors, one at least
+            last = int(np.searchsorted(ends, done + POSTINGS, side="right"))
+            end = n if last == len(owner) else max(begin + 1, int(owner[last]))
+            part = slice(first, int(np.searchsorted(owner, end)))
+            at = _ragged(lo[part], runs[part])
+            cell = np.repeat((owner[part] - begin) * width, runs[part])
+            cell += self.at[at]
+            weights = np.repeat(values[part], runs[part])
+            weights *= self.value[at]
+            scores[begin:end] = np.bincount(cell, weights=weights, minlength=(end - begin) * width).reshape(end - begin, width)
+            begin = end
+        return scores
+
     @staticmethod
     def _complete(scores: np.ndarray, common: np.ndarray, dense: np.ndarray, wanted: np.ndarray) -> None:
         """Add the common terms' part in the wanted blocks."""
