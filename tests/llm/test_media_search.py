@@ -80,3 +80,30 @@ def test_blocks_are_pruned():
     mat = np.repeat(np.arange(64)[:, None], 64, axis=0).astype(np.int64) @ np.ones((1, 4), dtype=np.int64)
     _, scores, scored = topk_search.search_chunk(np.array([-1]), np.ones((1, 4), dtype=np.int64), np.arange(len(mat)), mat, 5)
     assert scored == 1 and scores[0, 0] == 4 * 63
+
+
+def test_answers_come_once_for_each_group(spark, monkeypatch):
+    monkeypatch.setattr(topk_search, "CHUNK", 64)
+    monkeypatch.setattr(topk_search, "GROUPS", 2)
+    monkeypatch.setattr(topk_search, "GROUP_QUERIES", 8)
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(size=(1500, 6))
+    table = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    found = topk_search.top_k(table, table.where("vec_id % 50 = 0"))
+    q = np.floor(256 * vectors).astype(np.int64)
+    wanted = set()
+    for i in range(0, 1500, 50):
+        order = sorted((-s, j) for j, s in enumerate((q @ q[i]).tolist()) if j != i)[:5]
+        wanted |= {(i, r + 1, j, -s) for r, (s, j) in enumerate(order)}
+    assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in found.collect()} == wanted
+
+
+def test_a_chunk_goes_on_from_what_was_found():
+    rng = np.random.default_rng(4)
+    mat = rng.integers(-300, 300, size=(2000, 16))
+    q_ids, q, best = np.arange(0, 2000, 100), mat[::100], None
+    for at in range(0, 2000, 500):
+        *best, _ = topk_search.search_chunk(q_ids, q, np.arange(at, at + 500), mat[at : at + 500], 5, best=best)
+    for i, (ids, scores) in enumerate(zip(*best, strict=True)):
+        order = sorted((-s, j) for j, s in enumerate((mat @ q[i]).tolist()) if j != q_ids[i])[:5]
+        assert [(-s, j) for s, j in zip(scores.tolist(), ids.tolist(), strict=True)] == order

@@ -2,10 +2,16 @@
 
 Vectors are laid out in ranges of ids. A block is a short range; for each term
 (dimension) it keeps the largest and smallest value, and its vectors as a small
-forward index. A query orders the blocks of a chunk by the sum of its terms'
-bounds and scores them best first, until the next bound falls below the score of
-its k-th best vector. Queries are blocks too: each chunk of vectors meets each
-packed block of queries once.
+forward index. A query scores the block of a chunk whose summed bounds of its terms
+are the highest, then those others whose bound reaches the score of its k-th best
+vector so far. Queries are blocks too: each chunk of vectors meets each packed block
+of queries once.
+
+Chunks are dealt to at most GROUPS groups. A task takes the chunks of a group one
+after the other and keeps the best of each query, so that queries are sent, and
+answers come out, once for each group, however many chunks there are. Of the queries,
+at most GROUP_QUERIES or so are held by a task; more queries make more groups. What
+is left that grows with vectors times queries is the scoring itself.
 """
 
 from __future__ import annotations
@@ -14,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -23,6 +30,8 @@ SCALE = 256
 CHUNK = 4096
 BLOCK = 64
 QUERY_BLOCK = 1024
+GROUPS = 48
+GROUP_QUERIES = 1 << 18
 LOWEST = np.iinfo(np.int64).min
 PACKED = "part int, dim int, ids binary, mat binary"
 
@@ -58,44 +67,49 @@ def _packer(size: int):
     return pack
 
 
-def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Integer products a @ b.T; through float64 where every sum is exact in it."""
+def _exact(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """a and b as floats if every sum of their products is exact in float64, else as they are."""
     if a.size and b.size and float(np.abs(a).max()) * float(np.abs(b).max()) * a.shape[1] < 2**53:
-        return (a.astype(np.float64) @ b.T.astype(np.float64)).astype(np.int64)
-    return a @ b.T
+        return a.astype(np.float64), b.astype(np.float64)
+    return a, b
 
 
-def search_chunk(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, mat: np.ndarray, k: int, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, int]:
-    """Each query's best k ids and scores within a chunk, and the blocks that were scored."""
+def search_chunk(
+    q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, mat: np.ndarray, k: int, block: int = BLOCK, best: tuple[np.ndarray, np.ndarray] | None = None
+) -> tuple[np.ndarray, np.ndarray, int]:
+    """Each query's best k ids and scores within a chunk and what `best` has of others, and the blocks that were scored."""
     n = len(q_ids)
-    best_scores = np.full((n, k), LOWEST, dtype=np.int64)
-    best_ids = np.full((n, k), np.iinfo(np.int64).max, dtype=np.int64)
+    best_ids, best_scores = best or (np.full((n, k), np.iinfo(np.int64).max, dtype=np.int64), np.full((n, k), LOWEST, dtype=np.int64))
     starts = np.arange(0, len(ids), block)
+    q, mat = _exact(q, mat)
     high = np.maximum.reduceat(mat, starts, axis=0)
     low = np.minimum.reduceat(mat, starts, axis=0)
-    bounds = _exact(np.maximum(q, 0), high) + _exact(np.minimum(q, 0), low)
-    order = np.argsort(-bounds, axis=1, kind="stable")
-    active = np.arange(n)
+    bounds = (np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T).astype(np.int64)
+    first = bounds.argmax(axis=1)
     scored = 0
-    for wave in range(len(starts)):
-        turn = order[active, wave]
+
+    def take(b: int, mine: np.ndarray) -> None:
         # equal to the k-th score still counts: ties go to smaller ids
-        going = bounds[active, turn] >= best_scores[active, -1]
-        active, turn = active[going], turn[going]
-        if not len(active):
-            break
-        for b in np.unique(turn).tolist():
-            mine = active[turn == b]
-            here = ids[starts[b] : starts[b] + block]
-            scores = _exact(q[mine], mat[starts[b] : starts[b] + block])
-            own = q_ids[mine][:, None] == here[None, :]
-            scores = np.where(own, LOWEST, scores)
-            all_scores = np.concatenate([best_scores[mine], scores], axis=1)
-            all_ids = np.concatenate([best_ids[mine], np.where(own, np.iinfo(np.int64).max, here[None, :])], axis=1)
-            top = np.lexsort((all_ids, -(all_scores + (all_scores == LOWEST))), axis=1)[:, :k]
-            best_scores[mine] = np.take_along_axis(all_scores, top, axis=1)
-            best_ids[mine] = np.take_along_axis(all_ids, top, axis=1)
-            scored += len(mine)
+        mine = mine[bounds[mine, b] >= best_scores[mine, -1]]
+        if not len(mine):
+            return
+        nonlocal scored
+        scored += len(mine)
+        here = ids[starts[b] : starts[b] + block]
+        scores = q[mine] @ mat[starts[b] : starts[b] + block].T
+        better = np.flatnonzero(scores.max(axis=1) >= best_scores[mine, -1])
+        mine, scores = mine[better], scores[better].astype(np.int64)
+        own = q_ids[mine][:, None] == here[None, :]
+        all_scores = np.concatenate([best_scores[mine], np.where(own, LOWEST, scores)], axis=1)
+        all_ids = np.concatenate([best_ids[mine], np.where(own, np.iinfo(np.int64).max, here[None, :])], axis=1)
+        top = np.lexsort((all_ids, -(all_scores + (all_scores == LOWEST))), axis=1)[:, :k]
+        best_scores[mine] = np.take_along_axis(all_scores, top, axis=1)
+        best_ids[mine] = np.take_along_axis(all_ids, top, axis=1)
+
+    for b in np.unique(first).tolist():
+        take(b, np.flatnonzero(first == b))
+    for b in np.argsort(-bounds.max(axis=0, initial=LOWEST), kind="stable").tolist():
+        take(b, np.flatnonzero(first != b))
     return best_ids, best_scores, scored
 
 
@@ -110,27 +124,39 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
     """
     data = quantized(vectors, id_col, vec_col, scale)
     parts = max(1, -(-data.count() // CHUNK))
+    groups = min(parts, GROUPS)
     chunks = data.repartitionByRange(parts, "id").sortWithinPartitions("id").mapInArrow(_packer(CHUNK), PACKED)
     asked = quantized(queries, id_col, vec_col, scale).dropDuplicates()
+    shares = -(-asked.count() // GROUP_QUERIES) or 1
     blocks = asked.mapInArrow(_packer(QUERY_BLOCK), PACKED).select(
-        F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "dim", F.col("ids").alias("q_ids"), F.col("mat").alias("q_mat")
-    )
-    chunks = chunks.withColumn("part", F.pmod("part", F.lit(parts)))
+        F.pmod(F.xxhash64("ids", "mat"), F.lit(shares)).alias("share"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"),
+        "dim", F.col("ids").alias("q_ids"), F.col("mat").alias("q_mat"),
+    )
+    chunks = chunks.withColumn("group", F.pmod("part", F.lit(groups))).withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
+        queries_of: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
             for row in range(batch.num_rows):
                 dim, ids, mat, q_ids, q_mat = (batch.column(c)[row].as_py() for c in range(5))
-                q_ids = np.frombuffer(q_ids, dtype="<i8")
-                q = np.frombuffer(q_mat, dtype="<i8").reshape(len(q_ids), dim)
+                # one vector list of one length: the same block of queries, whichever chunk it meets
+                name = xxhash.xxh3_128_digest(q_ids + q_mat)
+                if name not in queries_of:
+                    numbers = np.frombuffer(q_ids, dtype="<i8")
+                    q = np.frombuffer(q_mat, dtype="<i8").reshape(len(numbers), dim)
+                    queries_of[name] = numbers, np.array([hash_row(x) for x in q], dtype=np.int64)
+                numbers = queries_of[name][0]
+                q = np.frombuffer(q_mat, dtype="<i8").reshape(len(numbers), dim)
                 ids = np.frombuffer(ids, dtype="<i8")
-                found, scores, _ = search_chunk(q_ids, q, ids, np.frombuffer(mat, dtype="<i8").reshape(len(ids), dim), k)
-                real = scores.ravel() > LOWEST
-                keys = [hash_row(x) for x in q]
-                columns = [np.repeat(q_ids, k)[real], np.repeat(np.array(keys, dtype=np.int64), k)[real], found.ravel()[real], scores.ravel()[real]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "q_key", "id", "score"])
-
-    pairs = chunks.join(blocks, ["part", "dim"]).select("dim", "ids", "mat", "q_ids", "q_mat")
+                kept[name] = search_chunk(numbers, q, ids, np.frombuffer(mat, dtype="<i8").reshape(len(ids), dim), k, best=kept.get(name))[:2]
+        for name, (found, scores) in kept.items():
+            numbers, keys = queries_of[name]
+            real = scores.ravel() > LOWEST
+            columns = [np.repeat(numbers, k)[real], np.repeat(keys, k)[real], found.ravel()[real], scores.ravel()[real]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "q_key", "id", "score"])
+
+    pairs = chunks.join(blocks, ["group", "share", "dim"]).select("dim", "ids", "mat", "q_ids", "q_mat")
     local = pairs.mapInArrow(score, "query_id long, q_key long, id long, score long")
     best = W.partitionBy("query_id", "q_key").orderBy(F.desc("score"), "id")
     return (
@@ -141,8 +167,6 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
 
 def hash_row(x: np.ndarray) -> int:
     """A key that tells the vectors of one query id apart."""
-    import xxhash
-
     return int(np.uint64(xxhash.xxh64_intdigest(x.tobytes())).astype(np.int64))
 
 
