@@ -2,6 +2,7 @@
 
 import collections
 import math
+import os
 import re
 import time
 import tracemalloc
@@ -436,3 +437,25 @@ def test_pipeline(spark, sf, docs):
             linked = brute_links([(r.doc_id, r.text) for r in before.orderBy("doc_id").collect()])
             assert {r.doc_id for r in kept.collect()} == {d for d, _, c in linked if d == c}
     assert corpus_pipeline.run(spark, sf).columns == ["doc_id", "n_tokens", "ids"]
+
+
+def test_pipeline_frees_the_disk_of_earlier_stages(spark, sf):
+    root = common.scratch_root(spark).removeprefix("file://")
+    before = set(os.listdir(root))
+    rows = corpus_pipeline.run(spark, sf)
+    left = {x.split("-")[2] for x in set(os.listdir(root)) - before if x.startswith("tributary-stage-")}
+    assert left == {"bpe"} and rows.count()
+
+
+def test_texts_are_shuffled_once_at_most(spark, docs):
+    """Near duplicates go by a join with what goes; line deduplication sends a text once."""
+    plan = jaccard_join.keep_one_of_each(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan
+    plan = line_dedup.line_dedup(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "text, text#" not in plan  # the row's struct and a column of its own
+
+
+def test_one_of_each_of_repeated_rows(spark):
+    rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "A b c d e f g"), (1, "a b c d e f h"), (3, ""), (3, ""), (None, "x y"), (None, "x y"), (None, None)]
+    kept = jaccard_join.keep_one_of_each(spark.createDataFrame(rows, "doc_id int, text string")).collect()
+    assert sorted(((r.doc_id or 0, r.text or "") for r in kept)) == [(0, ""), (0, "x y"), (1, "a b c d e f g"), (1, "a b c d e f h"), (3, ""), (3, "")]

@@ -67,8 +67,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     tag = F.coalesce(F.xxhash64(text_col), F.lit(0))
+    others = [c for c in names if c != text_col]  # a text in the row too would be shuffled twice
     keyed = docs.select(
-        F.struct(*names).alias("__ld_row"), F.col(id_col).alias(_ID), F.col(text_col).alias(_TEXT), tag.alias(_TAG)
+        F.struct(*others).alias("__ld_row"), F.col(id_col).alias(_ID), F.col(text_col).alias(_TEXT), tag.alias(_TAG)
     )
     covered = _covered(keyed.select(_ID, _TEXT, _TAG), width).select(
         F.col(_ID).alias("__ld_id2"), F.col(_TAG).alias("__ld_tag2"), "covered"
