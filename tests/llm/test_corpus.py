@@ -9,6 +9,7 @@ import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -459,3 +460,18 @@ def test_one_of_each_of_repeated_rows(spark):
     rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "A b c d e f g"), (1, "a b c d e f h"), (3, ""), (3, ""), (None, "x y"), (None, "x y"), (None, None)]
     kept = jaccard_join.keep_one_of_each(spark.createDataFrame(rows, "doc_id int, text string")).collect()
     assert sorted(((r.doc_id or 0, r.text or "") for r in kept)) == [(0, ""), (0, "x y"), (1, "a b c d e f g"), (1, "a b c d e f h"), (3, ""), (3, "")]
+
+
+def test_counts_of_a_part_take_little_memory():
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"{x:x}" for x in rng.integers(0, 1 << 20, 300).tolist()) for _ in range(2500)]
+    table = pa.table({"part": pa.array([3] * len(texts), pa.int32()), "text": texts, "learn": [i % 7 != 2 for i in range(len(texts))]})
+    tracemalloc.start()
+    out = lm_scoring._tally(2)(table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    split = [lm_scoring.words_of(t) for t in texts]
+    wanted = collections.Counter(lm_scoring.hashed([w for i, words in enumerate(split) if i % 7 != 2 for w in words]).tolist())
+    got = [r for r in out.to_pylist() if r["kind"] == lm_scoring.WORDS]
+    assert {r["key"]: r["n"] for r in got if r["n"]} == wanted and len({r["key"] for r in got}) == len(got)
+    assert peak < 55_000_000 and max(len(b) for b in out.to_batches()) <= 100_000

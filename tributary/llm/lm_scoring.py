@@ -39,8 +39,12 @@ SPLIT = 2
 MAX_GRAMS = 1_000_000
 #: Text bytes of one part, and characters handled at once within it.
 PART_BYTES = 24 << 20
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 400_000
 SCORE_CHARS = 400_000
+#: Rows of an Arrow batch that a task gives out: both sides hold a whole batch.
+GIVEN_ROWS = 100_000
+#: Grams or nodes computed at once.
+WALK_ROWS = 200_000
 #: Bytes that UTF-8 never has: padding before a text, and its end.
 BEFORE, END = 0xFE, 0xFF
 WORDS, GRAMS = 0, 1
@@ -99,7 +103,11 @@ def _log_gamma(x: np.ndarray) -> np.ndarray:
 def kt_log(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """Log of the Krichevsky-Trofimov probability of a sequence with these counts."""
     half = _log_gamma(np.array([0.5]))[0]
-    return _log_gamma(zeros + 0.5) + _log_gamma(ones + 0.5) - 2 * half - _log_gamma(zeros + ones + 1.0)
+    out = np.empty(len(zeros))
+    for i in range(0, len(zeros), WALK_ROWS):  # in parts: a dozen arrays are made on the way
+        z, o = zeros[i : i + WALK_ROWS], ones[i : i + WALK_ROWS]
+        out[i : i + WALK_ROWS] = _log_gamma(z + 0.5) + _log_gamma(o + 0.5) - 2 * half - _log_gamma(z + o + 1.0)
+    return out
 
 
 #: Nodes of one depth and bit: sorted keys (context, bits), the probability given to a one so far, and the share left for longer contexts.
@@ -150,14 +158,18 @@ class Rise:
         return out
 
     def descend(self, given: np.ndarray, left: np.ndarray) -> list[Nodes]:
-        """Predictions from the shallowest nodes down, which get `given` and `left` from above."""
-        out = []
-        for d, keys in enumerate(self.keys):
-            if d:
-                given, left = given[self.links[d - 1]], left[self.links[d - 1]]
-            given = given + left * self.own[d] * (self.ones[d] + 0.5) / (self.zeros[d] + self.ones[d] + 1)
-            left = left * (1 - self.own[d])
-            out.append((keys, given, left))
+        """Predictions from the shallowest nodes down, which get `given` and `left` from above; uses the lists up."""
+        out: list[Nodes] = []
+        for x in (self.keys, self.zeros, self.ones, self.own, self.links):
+            x.reverse()
+        while self.keys:
+            if out:
+                link = self.links.pop()
+                given, left = given[link], left[link]
+            own, ones, zeros = self.own.pop(), self.ones.pop(), self.zeros.pop()
+            given = given + left * own * (ones + 0.5) / (zeros + ones + 1)
+            left = left * (1 - own)
+            out.append((self.keys.pop(), given, left))
         return out
 
 
@@ -222,34 +234,56 @@ class GramTable:
         return self.values[at].astype(np.float64)
 
 
+class Tally:
+    """Sums of counts by key; what was added is merged when it outgrows half of what is merged."""
+
+    def __init__(self) -> None:
+        self.merged = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
+        self.added: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.added.append((keys, counts))
+        self.size += len(keys)
+        if 2 * self.size > len(self.merged[0]) + 2 * SLICE_CHARS:
+            self.merge()
+
+    def merge(self) -> tuple[np.ndarray, np.ndarray]:
+        keys, counts = zip(self.merged, *self.added, strict=True)
+        self.merged, self.added, self.size = (np.zeros(0, dtype=np.int64),) * 2, [], 0
+        self.merged = summed(np.concatenate(keys), np.concatenate(counts))
+        return self.merged
+
+
+def in_batches(table: pa.Table) -> pa.Table:
+    """The same rows as batches of GIVEN_ROWS at most."""
+    return pa.Table.from_batches(table.to_batches(max_chunksize=GIVEN_ROWS), table.schema)
+
+
 def _tally(depth: int):
     def tally(table: pa.Table) -> pa.Table:
         """One part's words and grams with their training counts, 0 for those of held-out texts only."""
         part = table.column("part")[0].as_py()
-        learn = table.column("learn").to_pylist()
-        tallies: list[list] = [[], []]
+        learn = table.column("learn").to_numpy()
+        tallies = Tally(), Tally()
         at = 0
         for texts in parts_by_bytes((t.as_py() for t in table.column("text")), SLICE_CHARS):
             split = [words_of(t) for t in texts]
-            flags = np.array(learn[at : at + len(split)], dtype=bool)
+            flags = learn[at : at + len(split)].astype(bool)
             at += len(split)
-            keys = hashed([w for words in split for w in words])
-            counts = np.repeat(flags, [len(words) for words in split]).astype(np.int64)
-            tallies[WORDS].append(summed(keys, counts))
             for learnt in (True, False):
-                codes, _ = gram_codes([words for words, flag in zip(split, flags, strict=True) if flag == learnt], depth)
-                distinct, times = summed(codes)
-                tallies[GRAMS].append((distinct, times * learnt))
-            if len(tallies[GRAMS]) >= 8:
-                tallies = [[summed(*(np.concatenate(x) for x in zip(*t, strict=True)))] for t in tallies]
-        out = [summed(*(np.concatenate(x) for x in zip(*t, strict=True))) for t in tallies]
+                some = [words for words, flag in zip(split, flags, strict=True) if flag == learnt]
+                for kind, keys in ((WORDS, hashed([w for words in some for w in words])), (GRAMS, gram_codes(some, depth)[0])):
+                    distinct, times = summed(keys)
+                    tallies[kind].add(distinct, times * learnt)
+        out = [t.merge() for t in tallies]
         sizes = [len(keys) for keys, _ in out]
-        return pa.table({
-            "kind": pa.array(np.repeat([WORDS, GRAMS], sizes), pa.int32()),
-            "part": pa.array(np.full(sum(sizes), part), pa.int32()),
-            "key": pa.array(np.concatenate([k for k, _ in out]), pa.int64()),
-            "n": pa.array(np.concatenate([n for _, n in out]), pa.int64()),
-        })
+        return in_batches(pa.table({
+            "kind": pa.array(np.repeat(np.array([WORDS, GRAMS], dtype=np.int32), sizes), pa.int32()),
+            "part": pa.array(np.full(sum(sizes), part, dtype=np.int32), pa.int32()),
+            "key": pa.chunked_array([k for k, _ in out], pa.int64()),
+            "n": pa.chunked_array([n for _, n in out], pa.int64()),
+        }))
 
     return tally
 
@@ -303,10 +337,11 @@ def gram_scores(counts: DataFrame, depth: int, max_grams: int) -> DataFrame:
                 at = np.searchsorted(upper[-1][0], above(rose.keys[0], k))
                 given, left = upper[-1][1][at], upper[-1][2][at]
             nodes = [*upper, *rose.descend(given, left)]
-            for i in range(0, len(keys), 200_000):
-                values[i : i + 200_000] += walk(keys[i : i + 200_000], nodes, k)
+            for i in range(0, len(keys), WALK_ROWS):
+                values[i : i + WALK_ROWS] += walk(keys[i : i + WALK_ROWS], nodes, k)
+            del rose, nodes, given, left  # before the next bit's are made
         at = np.searchsorted(keys, table.column("key").to_numpy())
-        return pa.table({"part": table.column("part"), "key": table.column("key"), "value": pa.array(values[at], pa.float32())})
+        return in_batches(pa.table({"part": table.column("part"), "key": table.column("key"), "value": pa.array(values[at], pa.float32())}))
 
     return dealt.groupBy("group").applyInArrow(give, "part int, key long, value float")
 
