@@ -100,3 +100,17 @@ def test_files(spark, odd, none, tmp_path):
     assert [tuple(r) for r in got] == wanted
     token_store.write_token_files(none, path + "0")
     assert token_store.read_token_files(spark, path + "0").count() == 0
+
+
+def test_full_memory_keeps_the_words_at_hand(monkeypatch):
+    encoder = token_store.LibraryEncoder(BYTE)
+    texts = ["some words of one text, and more.", "some words of another"]
+    learnt, learn = [], encoder._learn
+    monkeypatch.setattr(encoder, "_learn", lambda words: (learnt.extend(words), learn(words)))
+    monkeypatch.setattr(token_store, "REMEMBERED", 3)
+    first = encoder.encode(texts)
+    size = len(learnt)
+    assert encoder.encode(texts) == first and len(learnt) == size > 3
+    assert encoder.encode(["quite different"]) and "some" not in encoder.known
+    ids = [encoder.library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert first == [encoder.pack(i) for i in ids] == encoder.encode(texts)

@@ -43,8 +43,8 @@ SAMPLE = 64
 #: Text bytes of one file, and characters of one block.
 SHARD_BYTES = 24 << 20
 BLOCK_CHARS = 1_500_000
-#: Runs of characters whose ids a worker remembers; the memory is emptied when full.
-REMEMBERED = 250_000
+#: Runs of characters whose ids a worker remembers; when full, it keeps those of the texts at hand.
+REMEMBERED = 400_000
 #: Pre-tokens given to the library in one call.
 CALL_WORDS = 200
 #: Shards whose offsets are summed together before the groups are.
@@ -217,9 +217,12 @@ class LibraryEncoder:
         gc.disable()  # millions of strings and no cycles
         try:
             found = [self._cut(t, p) for t, p in zip(texts, plain_texts(texts), strict=True)]
+            distinct = set().union(*found)
+            new = distinct.difference(self.known)
             if len(self.known) > REMEMBERED:
-                self.known = {"": b""}
-            self._learn(list(set().union(*found).difference(self.known)))
+                self.known = {w: self.known[w] for w in distinct.difference(new)} | {"": b""}
+            del distinct
+            self._learn(list(new))
             get = self.known.__getitem__
             return [b"".join(map(get, words)) for words in found]
         finally:
