@@ -475,3 +475,33 @@ def test_counts_of_a_part_take_little_memory():
     got = [r for r in out.to_pylist() if r["kind"] == lm_scoring.WORDS]
     assert {r["key"]: r["n"] for r in got if r["n"]} == wanted and len({r["key"] for r in got}) == len(got)
     assert peak < 55_000_000 and max(len(b) for b in out.to_batches()) <= 100_000
+
+
+def test_what_is_sent_for_a_large_group_stays_in_bounds(spark, monkeypatch):
+    """A set travels a bounded number of times at once, all passes together compare the outside with everyone, and links are those of pairs."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 4)
+    monkeypatch.setattr(jaccard_join, "PARTS_AT_ONCE", 3)
+    rows = [(True, 7, node, node % 90, 10, 0, 100, 1000, 12, 120) for node in range(100)]
+    names = "whole boolean, grp long, node long, label long, n long, main long, total long, size long, most long, main_size long"
+    placed = jaccard_join._in_parts(spark.createDataFrame(rows, names)).cache()
+    most = placed.agg({"parts": "max"}).first()[0]
+    met, passes = set(), range(0, most, jaccard_join.PARTS_AT_ONCE)
+    for first in passes:
+        outside, everyone = ([(r.node, r.part) for r in t.collect()] for t in jaccard_join._sent(placed, first))
+        assert max(collections.Counter(n for n, _ in outside).values()) <= jaccard_join.PARTS_AT_ONCE and len(set(everyone)) == len(everyone)
+        met |= {(a, b) for a, p in outside for b, q in everyone if p == q}
+    assert most > jaccard_join.PARTS_AT_ONCE and met == {(a, b) for a in range(100) if a % 90 for b in range(100)}
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 62, 60, dtype=np.uint64)
+    tokens = {n: np.unique(np.r_[base[n // 10 :], rng.integers(0, 1 << 62, 2, dtype=np.uint64)]) for n in range(100)}
+    sets = spark.createDataFrame([(n, bytearray(t.tobytes())) for n, t in tokens.items()], "node long, tokens binary")
+    bands, forest, wanted = jaccard_join.Bands.of(75, 100), components.Forest(), components.Forest()
+    for first in passes:
+        for r in jaccard_join._rest(placed, sets, bands, first).collect():
+            forest.join(r.a, r.b)
+    for a in tokens:
+        for b in tokens:
+            both = len(np.intersect1d(tokens[a], tokens[b]))
+            if a % 90 and 100 * both >= 75 * (len(tokens[a]) + len(tokens[b]) - both):
+                wanted.join(a % 90, b % 90)
+    assert [forest.root(n) for n in range(90)] == [wanted.root(n) for n in range(90)]
