@@ -79,3 +79,27 @@ def test_equal_statements_are_read_and_made_into_rows_once():
     assert [tuple(c.values()) for c in got[0]["clauses"]] == clauses.read(whole)[3]
     assert got[2]["rule"] == "trailing_comma" and [tuple(c.values()) for c in got[2]["clauses"]] == clauses.read(broken)[3]
 
+
+
+def test_edges_by_shape_are_the_statements_own(spark, monkeypatch):
+    """Statements that differ in their names' digits are read once; numbers, other digits and marks in texts are theirs."""
+    odd = [
+        "INSERT INTO t1 SELECT a1, a01 AS b1, a1 + 1 FROM s1 WHERE x = 1;", "INSERT INTO t2 SELECT a2, a02 AS b2, a2 + 1 FROM s2 WHERE x = 1;",
+        "INSERT INTO t1 SELECT a1, a1 AS b1, a1 + 2 FROM s2;", "INSERT INTO t1 SELECT a2, a1 AS b1, 1e5, 1.5e3 FROM s1;", "INSERT INTO `t 9`.x1 SELECT {v1}2, A12, 'q1 7' AS q FROM \"s3a://in/a_7\" AS b7;",
+        "WITH c1 AS (SELECT a1 AS x1 FROM s1), c2 AS (SELECT x1, y1.z2 FROM c1 JOIN y1 ON x1 = z2) INSERT INTO t1 SELECT c2.x1, z2, count(*) FROM c2;",
+        "WITH c3 AS (SELECT a3 AS x3 FROM s3), c1 AS (SELECT x3, y3.z1 FROM c3 JOIN y3 ON x3 = z1) INSERT INTO t3 SELECT c1.x3, z1, count(*) FROM c1;",
+        f"INSERT INTO t{clauses.MARKS[0]}1 SELECT é1 FROM s1;", f"INSERT INTO t1 SELECT a{clauses.MARKS[0]}, b1 FROM s1;", "UPDATE t8 SET a8 = b9 WHERE c = 8;", "SELECT a1 FROM", None, "",
+        "INSERT INTO t SELECT " + ", ".join(f"c{i}" for i in range(70)) + " FROM s69;",
+    ]
+    rows = spark.createDataFrame([(f"f{i % 3}", i, s) for i, s in enumerate(odd)], "file string, pos int, stmt string")
+    wanted = sorted(map(str, syntax.physical_edges(syntax.read(rows)).collect()))
+    assert wanted and sorted(map(str, syntax.edges_by_shape(rows).collect())) == wanted
+    monkeypatch.setattr(syntax, "MAX_BROADCAST_SHAPES", 0)
+    assert sorted(map(str, syntax.edges_by_shape(rows).collect())) == wanted
+    assert [clauses.shape_of(odd[k])[0] for k in (0, 5)] == [clauses.shape_of(odd[k])[0] for k in (1, 6)]
+    assert clauses.shape_of("a1 1e5 .5 x2") == (f"a{clauses.MARKS[0]} 1e5 .5 x{clauses.MARKS[1]}", ["1", "2"])
+    many = spark.range(3000).selectExpr("'f' file", "CAST(id AS INT) pos", "concat('INSERT INTO t', id, ' SELECT a FROM s', id) stmt")
+    held = []
+    real = syntax.read
+    monkeypatch.setattr(syntax, "read", lambda t: held.append(t.count()) or real(t))
+    assert syntax.edges_by_shape(many).count() == 3000 and held == [1]

@@ -16,6 +16,8 @@ from tributary.functions import text as T
 from tributary.staging import drop_staged, staged
 
 STATEMENT = ("file", "pos")
+#: Shapes of statements whose edges are sent to every task.
+MAX_BROADCAST_SHAPES = 20_000
 
 
 def read(statements: DataFrame, column: str = "stmt") -> DataFrame:
@@ -171,6 +173,24 @@ def physical_edges(reading: DataFrame, levels: int = 16) -> DataFrame:
     return reached.select(*key, "target", "target_col", source.alias("source"), "source_col").distinct()
 
 
+def edges_by_shape(statements: DataFrame) -> DataFrame:
+    """physical_edges of (file, pos, stmt), read and followed once for each shape of statement.
+
+    Statements that differ in the digits of their names only have one shape (`clauses.shape_of`);
+    its edges become theirs by putting the digits back. Shapes and their edges are staged tables.
+    """
+    placed = staged(statements.where("stmt IS NOT NULL").select(*STATEMENT, clauses.shaped("stmt").alias("s")).select(*STATEMENT, "s.shape", "s.runs"), "shapes")
+    whole = placed.withColumn("named", F.sha2("shape", 256))
+    shapes = whole.select(F.col("named").alias("file"), F.lit(0).alias("pos"), F.col("shape").alias("stmt")).distinct()
+    columns = ["target", "target_col", "source", "source_col"]
+    followed = physical_edges(read(shapes)).groupBy(F.col("file").alias("named")).agg(F.collect_list(F.struct(*columns)).alias("edges"))
+    edges = staged(followed, "shape-edges")
+    # as many statements have a frequent shape as there are: it must not be one task's
+    few = F.broadcast(edges) if edges.count() <= MAX_BROADCAST_SHAPES else edges
+    met = whole.select(*STATEMENT, "runs", "named").join(few, "named").select(*STATEMENT, "runs", F.inline("edges"))
+    return met.select(*STATEMENT, *[clauses.unmarked(c).alias(c) for c in columns])
+
+
 def valid_writes(statements: DataFrame) -> DataFrame:
     """Writes that read as whole; of a file without any, the writes not cut off after a comma, and of one without these all."""
     stmt = F.col("stmt")

@@ -95,7 +95,7 @@ def flow_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
 def flow_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Column edges of these statements, from the tables."""
     made = dataflow.statements(_flows(spark, sf_dir)).select("file", "pos", "stmt")
-    return syntax.physical_edges(syntax.read(made)).select("file", "target", "target_col", "source", "source_col").distinct()
+    return syntax.edges_by_shape(made).select("file", "target", "target_col", "source", "source_col").distinct()
 
 
 def flow_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
